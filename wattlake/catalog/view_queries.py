@@ -156,7 +156,7 @@ view(
     f""", x AS MATERIALIZED (SELECT topic_keywords || ' . ' || coalesce(assunto, '') AS t, count(*) AS n FROM train
   WHERE causa_canonica = 'indefinido' GROUP BY 1),
 y AS MATERIALIZED (SELECT regexp_extract_all({fold("t")}, '\\b[a-z0-9_]{{3,}}\\b') AS ws, n FROM x),
-z AS (SELECT unnest(ws) AS token, n FROM y)
+z AS MATERIALIZED (SELECT ws[i] AS token, n FROM y JOIN range(1, 60) r(i) ON i <= len(ws))
 SELECT token, CAST(sum(n) AS BIGINT) AS qtd_ocorrencias FROM z WHERE token NOT IN {in_list(views.TOKEN_STOPWORDS)}
 GROUP BY 1 ORDER BY qtd_ocorrencias DESC, token LIMIT 20""",
 )
