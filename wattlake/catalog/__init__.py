@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("frame_queries", "view_queries", "operation_queries", "feature_queries", "text_queries")
+MODULES = ("frame_queries", "view_queries", "operation_queries", "feature_queries", "text_queries", "source_queries")
 
 
 def load():

@@ -195,7 +195,13 @@ SELECT label, vec_id, round(s, 6) AS cosseno FROM (SELECT *, row_number() OVER (
 )
 
 
-def _candidates(spark, sf, k: int = 10):
+def _candidates(spark, sf):
+    """Candidate lists are short and read several times by the lexical step, so they are written once per version."""
+    version = runtime.dataset_version(spark, [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"])
+    return runtime.materialise(spark, lambda: _build_candidates(spark, sf), "candidates", version)
+
+
+def _build_candidates(spark, sf, k: int = 10):
     """Cosine candidates of every benchmark passage over the hashed document vectors, with both texts."""
     corpus, bench = docs(spark, sf), b.table(spark, sf, "benchmark")
     dv = rt.dense(rt.hash_embedding(corpus, "doc_id", "text"), "doc_id")
@@ -373,7 +379,7 @@ add(
 add(
     "known_question_matches",
     lambda s, d: rt.known_questions(
-        _questions(s, d), b.table(s, d, "benchmark").select(F.col("item_id").alias("seed_id"), F.col("text").alias("question")), 0.6
+        _questions(s, d), _questions(s, d).filter("question_id LIKE '%-0'").select(F.col("question_id").alias("seed_id"), "question"), 0.6
     ),
 )
 

@@ -191,6 +191,11 @@ def daily_hotspots(df: DataFrame, time: str, region: str, cause: str, threshold:
         .groupBy(F.col(time).cast("date").alias("data"), F.col(region).alias("regiao"), F.col(cause).alias("classe_erro"))
         .agg(F.count(F.lit(1)).alias("qtd_erros"))
     )
+    return score_daily_counts(counts, threshold)
+
+
+def score_daily_counts(counts: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """Rolling mean, sample deviation and z-score over the last seven rows of each series."""
     w = W.partitionBy("regiao", "classe_erro").orderBy("data").rowsBetween(-6, 0)
     spread = F.coalesce(F.stddev_samp("qtd_erros").over(w), F.lit(0.0))
     scored = counts.withColumns({"rolling_mean_7d": F.avg("qtd_erros").over(w), "rolling_std_7d": spread})

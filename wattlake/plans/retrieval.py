@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from wattlake.functions.questions import normal_question
 from wattlake.functions.text import slug, tokens
@@ -86,12 +87,20 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 256) -> Data
     return sums.join(norms, key).filter("w <> 0 AND _n > 0").select(key, "bucket", (F.col("w") / F.col("_n")).alias("peso"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _fill(buckets: pd.Series, weights: pd.Series, dim: pd.Series) -> pd.Series:
+    out = []
+    for b, w, n in zip(buckets, weights, dim):
+        row = np.zeros(int(n))
+        row[np.asarray(b, dtype=int)] = w
+        out.append(row)
+    return pd.Series(out)
+
+
 def dense(sparse: DataFrame, key: str, dim: int = 256) -> DataFrame:
-    """Sparse rows to one array of ``dim`` values per key (a bounded group)."""
-    cells = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "peso"))).alias("_m"))
-    return cells.select(
-        key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(0.0))).alias("vetor")
-    )
+    """Sparse rows to one array of ``dim`` values per key (a group holds at most ``dim`` rows)."""
+    cells = sparse.groupBy(key).agg(F.collect_list(F.struct("bucket", "peso")).alias("_c"))
+    return cells.select(key, _fill(F.col("_c.bucket"), F.col("_c.peso"), F.lit(dim)).alias("vetor"))
 
 
 def unit(x: Column) -> Column:
@@ -101,14 +110,49 @@ def unit(x: Column) -> Column:
     return F.transform(values, lambda v: v / F.when(length == 0, 1.0).otherwise(length))
 
 
+# Query lists up to this size travel to the tasks as one matrix (at most a few megabytes).
+MATRIX_QUERIES = 1024
+
+
+def _units(values) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype="float64") for v in values])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1.0, length)
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qvec: str, cvec: str, k: int) -> DataFrame:
-    """TXT08: exact nearest neighbours of every query; each task keeps only its k best rows per query."""
+    """TXT08: exact nearest neighbours of every query.
+
+    A list of at most ``MATRIX_QUERIES`` queries is multiplied with each Arrow batch of the corpus, and only the k best
+    rows per query leave the batch. A longer list meets the corpus in bounded blocks instead. The result is the same.
+    """
+    listed = queries.select(qkey, qvec).limit(MATRIX_QUERIES + 1).collect()
+    order = [F.desc("cosseno"), F.asc(ckey)]
+    if len(listed) <= MATRIX_QUERIES:
+        names = [r[0] for r in listed]
+        matrix = _units([r[1] for r in listed]) if listed else np.zeros((0, 1))
+
+        def best(batches):
+            for pdf in batches:
+                if not len(pdf) or not names:
+                    continue
+                scores = np.round(_units(pdf[cvec]) @ matrix.T, 9)
+                ids = pdf[ckey].to_numpy()
+                for j, name in enumerate(names):
+                    top = np.lexsort((ids, -scores[:, j]))[:k]
+                    yield pd.DataFrame({qkey: [name] * len(top), ckey: ids[top], "cosseno": scores[top, j]})
+
+        kinds = dict(queries.dtypes) | dict(corpus.dtypes)
+        found = corpus.select(ckey, cvec).mapInPandas(
+            best, f"{qkey} {dict(queries.dtypes)[qkey]}, {ckey} {kinds[ckey]}, cosseno double"
+        )
+        return top_per_group(found, [qkey], order, k)
     rows = corpus.select(F.col(ckey), unit(F.col(cvec)).alias("_v"))
     payload = F.struct(F.col(qkey).alias("q"), unit(F.col(qvec)).alias("v"))
     pairs = with_queries(rows, queries, payload, ckey, qkey)
     dot = F.aggregate(F.zip_with("_v", F.col("_q.v"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     scored = pairs.select(F.col("_q.q").alias(qkey), ckey, F.round(dot, 9).alias("cosseno"))
-    return top_per_group(scored, [qkey], [F.desc("cosseno"), F.asc(ckey)], k)
+    return top_per_group(scored, [qkey], order, k)
 
 
 def _bm25(tf: Column, length: Column, average: Column, n: Column, df: Column) -> Column:
