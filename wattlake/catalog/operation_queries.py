@@ -717,3 +717,36 @@ q(
   AND data_criacao <= {REF} GROUP BY 1 HAVING count(*) >= 2)
 SELECT cod_uc, incidentes, count(*) AS notas FROM notes JOIN h USING (cod_uc) WHERE data_criacao > {REF} GROUP BY 1, 2""",
 )
+
+
+def _risk_areas(spark, sf):
+    """One triangle per region key over the coordinate range of the deliveries; the last one is inactive."""
+    k = F.col("r_regionkey") * 0.02
+    corner = lambda dx, dy: F.struct((F.lit(-23.5) + k + dx).alias("x"), (F.lit(-46.6) + k + dy).alias("y"))
+    return b.table(spark, sf, "region").select(
+        F.array(corner(-0.0051, -0.0049), corner(0.0253, -0.0047), corner(0.0049, 0.0301)).alias("ring"), (F.col("r_regionkey") < 4).alias("ativa")
+    )
+
+
+def _in_risk_areas(spark, sf):
+    from wattlake.operators.areas import in_areas
+
+    points = op.deliveries(spark, sf).select("cod_entrega", F.col("lat_entrega").alias("x"), F.col("lon_entrega").alias("y"))
+    return in_areas(points, _risk_areas(spark, sf), "x", "y", 0.01).groupBy(F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+_SIDE = "(px - {bx}) * ({ay} - {by}) - ({ax} - {bx}) * (py - {by})"
+q(
+    "deliveries_in_risk_areas", _in_risk_areas, _DELIVERIES,
+    ", r AS (SELECT -23.5 + r_regionkey * 0.02 AS x0, -46.6 + r_regionkey * 0.02 AS y0 FROM region WHERE r_regionkey < 4), "
+    "t AS (SELECT x0 - 0.0051 AS ax, y0 - 0.0049 AS ay, x0 + 0.0253 AS bx, y0 - 0.0047 AS by1, x0 + 0.0049 AS cx, y0 + 0.0301 AS cy FROM r), "
+    "p AS (SELECT cod_entrega, la AS px, lo AS py FROM deliveries), "
+    "h AS (SELECT px, py FROM p WHERE EXISTS (SELECT 1 FROM t WHERE "
+    + " AND ".join(
+        _SIDE.format(ax=a, ay=ay, bx=bx, by=by) + " > 0"
+        for a, ay, bx, by in (("ax", "ay", "bx", "by1"), ("bx", "by1", "cx", "cy"), ("cx", "cy", "ax", "ay"))
+    )
+    + ")) SELECT round(px, 2) AS x, round(py, 2) AS y, count(*) AS n FROM h GROUP BY 1, 2",
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -34,7 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+# Seconds a computed dataset version is trusted before the file listing is read again.
+VERSION_TTL = 60.0
+_VERSIONS: dict[tuple[str, tuple[str, ...]], tuple[float, str]] = {}
+
+
 def dataset_version(spark: SparkSession, paths: list[str]) -> str:
+    """Version of the input files, re-read from their metadata at most once per ``VERSION_TTL``."""
+    key = (spark.sparkContext.applicationId, tuple(paths))
+    known = _VERSIONS.get(key)
+    if known is None or time.monotonic() - known[0] > VERSION_TTL:
+        known = (time.monotonic(), _read_version(spark, paths))
+        _VERSIONS[key] = known
+    return known[1]
+
+
+def _read_version(spark: SparkSession, paths: list[str]) -> str:
     """sha256 over path, size and modification time of the input files (file metadata only, no content read)."""
     files = (
         spark.read.format("binaryFile")
