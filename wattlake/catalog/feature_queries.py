@@ -8,7 +8,9 @@ from wattlake import bindings as b
 from wattlake import operations as op
 from wattlake.catalog.base import add
 from wattlake.catalog.operation_queries import _NOTES, _PAYMENTS, _TARGETS, q
-from wattlake.functions import rules as ru
+from wattlake.catalog.sqlparts import COMPLAINTS, canonical_label, classifier_ctes
+from wattlake.functions import taxonomy as tax
+from wattlake.functions.text import fold
 from wattlake.plans import features as ft
 from wattlake.plans import models as ml
 from wattlake.plans import quality
@@ -256,3 +258,32 @@ add(
     ),
 )
 add("topic_taxonomy", lambda s, d: ml.topic_model(b.table(s, d, "documents"), "doc_id", "text", 8)[1])
+
+
+def _weak_labels(spark, sf):
+    """ML14: canonical human label, else the class of the answer text."""
+    rows = b.complaints(spark, sf).withColumn("_label", tax.canonical_label(F.col("causa_raiz")))
+    scored = tax.classify(rows.withColumn("_t", F.when(F.col("_label").isNull(), F.col("devolutiva")).otherwise("")), "_t")
+    return scored.groupBy(F.coalesce("_label", "classe").alias("rotulo")).agg(F.count(F.lit(1)).alias("n"))
+
+
+q(
+    "weak_labels", _weak_labels, COMPLAINTS, "src AS (SELECT devolutiva AS txt FROM complaints)", classifier_ctes("src"),
+    f"SELECT coalesce({canonical_label('causa_raiz')}, classe) AS rotulo, count(*) AS n FROM complaints JOIN cls ON txt = devolutiva GROUP BY 1",
+)
+
+
+def _text_classifier(spark, sf):
+    """ML15: text classifier trained on the documents, as a confusion table."""
+    rows = b.table(spark, sf, "documents").select("text", "lang")
+    model = ml.train_text(rows, "text", "lang")
+    return model.transform(rows.withColumn("_text", fold(F.col("text")))).groupBy("lang", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("text_classifier_confusion", _text_classifier)
+add(
+    "temporal_cross_validation",
+    lambda s, d: ml.cross_validate(
+        ft.default_features(op.payments(s, d), OBS), "data_vencimento", "flag_inadimplente", ["valor_fatura", "qtd_faturas_uc_12m"], 2
+    ),
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -52,10 +53,19 @@ def preprocessor(numeric: list[str], categorical: list[str]) -> list:
     return [*stages, VectorAssembler(inputCols=["_std", *encoded], outputCol="features", handleInvalid="keep")]
 
 
+def _fit(stages: list, rows: DataFrame, columns: list[str]) -> PipelineModel:
+    """Fit over the needed columns only, held in memory and on disk while the estimators pass over them."""
+    held = rows.select(*dict.fromkeys(columns)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(held)
+    finally:
+        held.unpersist()
+
+
 def train_delay(train: DataFrame, numeric: list[str], categorical: list[str], label: str) -> PipelineModel:
     """ML07: boosted trees for delays."""
     model = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=5, maxIter=20, stepSize=0.05, seed=42)
-    return Pipeline(stages=[*preprocessor(numeric, categorical), model]).fit(train)
+    return _fit([*preprocessor(numeric, categorical), model], train, [*numeric, *categorical, label])
 
 
 def train_default(train: DataFrame, numeric: list[str], categorical: list[str], label: str) -> PipelineModel:
@@ -66,21 +76,25 @@ def train_default(train: DataFrame, numeric: list[str], categorical: list[str],
         "_w", F.when(F.col(label) == 1, F.lit(0.5) / F.greatest(weights, F.lit(1e-6))).otherwise(0.5 / F.greatest(1 - weights, F.lit(1e-6)))
     )
     model = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="_w", numTrees=40, maxDepth=8, seed=42)
-    return Pipeline(stages=[*preprocessor(numeric, categorical), model]).fit(weighted)
+    return _fit([*preprocessor(numeric, categorical), model], weighted, [*numeric, *categorical, label, "_w"])
 
 
 def train_targets(train: DataFrame, numeric: list[str]) -> PipelineModel:
     """ML07: regression of the percentage and a risk classifier over the same features."""
-    return Pipeline(
-        stages=[
+    return _fit(
+        [
             *preprocessor(numeric, []),
-            GBTRegressor(labelCol="target_pct_atingimento", featuresCol="features", predictionCol="pct_previsto", maxDepth=5, maxIter=20, seed=42),
+            GBTRegressor(
+                labelCol="target_pct_atingimento", featuresCol="features", predictionCol="pct_previsto", maxDepth=5, maxIter=20, seed=42
+            ),
             LogisticRegression(
                 labelCol="target_flag_risco", featuresCol="features", maxIter=100, predictionCol="_risk",
                 probabilityCol="_risk_probability", rawPredictionCol="_risk_raw",
             ),
-        ]
-    ).fit(train)
+        ],
+        train,
+        [*numeric, "target_pct_atingimento", "target_flag_risco"],
+    )
 
 
 def project_targets(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -184,7 +198,7 @@ def temporal_folds(df: DataFrame, date_column: str, splits: int = 5) -> DataFram
 
 def cross_validate(df: DataFrame, date_column: str, label: str, numeric: list[str], splits: int = 5) -> DataFrame:
     """ML12: one fit per expanding fold, metrics united."""
-    folded = temporal_folds(df, date_column, splits)
+    folded = temporal_folds(df, date_column, splits).select("fold", label, *numeric).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for k in range(1, splits + 1):
         model = train_default(folded.filter(F.col("fold") < k), numeric, [], label)
@@ -214,13 +228,15 @@ def train_text(df: DataFrame, text: str, label: str) -> PipelineModel:
     total = classes.agg((F.sum("n") / F.count(F.lit(1))).alias("m")).select("m").scalar()
     weights = classes.select(label, (total / F.col("n")).alias("_w"))
     rows = df.withColumn("_text", fold(F.col(text))).join(weights, label)
-    return Pipeline(
-        stages=[
+    return _fit(
+        [
             StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep"),
             *text_stages(),
             LogisticRegression(labelCol="_label", featuresCol="features", weightCol="_w", maxIter=20),
-        ]
-    ).fit(rows)
+        ],
+        rows,
+        ["_text", label, "_w"],
+    )
 
 
 def topic_model(df: DataFrame, key: str, text: str, k: int, vocabulary: int = 2000) -> tuple[DataFrame, DataFrame]:
