@@ -167,6 +167,15 @@ invoice_profile AS (
     {modal("strftime(l_shipdate, '%Y-%m')")} AS fat_reclamada_top, count(*) AS qtd_faturas_reclamadas
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
 
+# DuckDB sometimes fails with an internal error on string functions over dictionary-encoded columns of a materialised
+# CTE. Appending the text to an empty prefix of another column keeps every value and stores the columns plainly.
+_FLAT = ", ".join(
+    f"left(ordem, 0) || {c} AS {c}"
+    for c in (
+        "regiao", "tipo_origem", "causa_canonica", "causa_canonica_confidence", "status", "assunto", "grupo", "texto_completo",
+        "devolutiva", "tipo_medidor_dominante", "topic_name", "topic_keywords",
+    )
+)
 _TOPIC_TARGET = "CASE label " + " ".join(f"WHEN {t} THEN {lit(c)}" for t, c, _ in b.TOPIC_CAUSES) + " END"
 
 FRAME = f"""{COMPLAINTS},
@@ -177,7 +186,7 @@ outcome AS (SELECT CAST(doc_id AS VARCHAR) AS ordem, CASE quality WHEN 1 THEN 'P
             FROM labels),
 {METERS},
 {INVOICES},
-frame_all AS MATERIALIZED (
+frame_rows AS (
   SELECT c.ordem, c.linha, c.dt_ingresso AS data_ingresso, CAST(date_trunc('month', c.dt_ingresso) AS DATE) AS mes_ingresso,
     c._source_region AS regiao, c._data_type AS tipo_origem,
     CASE WHEN base_cause = 'indefinido' AND tgt IS NOT NULL THEN tgt ELSE base_cause END AS causa_canonica,
@@ -207,6 +216,7 @@ frame_all AS MATERIALIZED (
   LEFT JOIN outcome ON outcome.ordem = c.ordem
   LEFT JOIN meter_profile mp ON mp.instalacao = c.instalacao
   LEFT JOIN invoice_profile ip ON ip.ordem = c.ordem),
+frame_all AS MATERIALIZED (SELECT * REPLACE ({_FLAT}) FROM frame_rows),
 frame AS (SELECT * FROM frame_all WHERE regiao IN ('CE', 'SP')),
 train AS (SELECT * FROM frame WHERE tipo_origem IN ('erro_leitura', 'base_n1_sp')),
 sp AS (SELECT * FROM frame WHERE regiao = 'SP')"""
