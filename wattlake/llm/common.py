@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers find this package where the driver does, if they have not installed it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,27 +53,29 @@ def hashed(*columns: str | Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, name: str, out: str = "before") -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the same group that come earlier in ``order``.
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, str], name: str) -> DataFrame:
+    """Add to every row, for each ``out: column`` of ``values``, the sum over the rows of its group that come earlier in ``order``.
 
     Rows are cut into ranges of (group, order) and written; sums inside a range need no other range, and the totals
     of (range, group) are one row each. So a group that holds most rows is spread over many tasks. ``order`` must be unique in
-    its group; rows with equal keys would otherwise be ordered freely.
+    its group, or rows with equal keys are ordered freely.
     """
     keys = [*group, *order]
     ranged = df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_range", F.spark_partition_id())
     ranged = saved(ranged, f"{name}-ranges")
     inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # Few ranges: as many rows as shuffle partitions and groups, never as many as rows.
-    totals = ranged.groupBy("_range", *group).agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *group, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = (F.col("l._range") == F.col("r._range")) & F.lit(True)
+    nothing = F.lit(0)
+    # One row per range and group: as many as ranges and groups together, never as many as rows.
+    totals = ranged.groupBy("_range", *group).agg(*[F.sum(column).alias(out) for out, column in values.items()])
+    totals = totals.select("_range", *group, *[F.coalesce(F.sum(out).over(earlier), nothing).alias(out) for out in values])
+    local = ranged.withColumns({f"_in_{out}": F.coalesce(F.sum(column).over(inside), nothing) for out, column in values.items()})
+    same = F.col("l._range") == F.col("r._range")
     for g in group:
         same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    joined = local.alias("l").join(offsets.alias("r"), same)
-    return joined.select("l.*", (F.col("l._local") + F.col("r._offset")).alias(out)).drop("_range", "_local")
+    joined = local.alias("l").join(totals.alias("r"), same)
+    sums = [(F.col(f"l._in_{out}") + F.col(f"r.{out}")).alias(out) for out in values]
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *sums)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
