@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import exact, mixing, packing
+from wattlake.llm import exact, langid, mixing, packing
 from wattlake.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(documents(spark, sf_dir))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -27,6 +31,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
