@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import exact, langid, mixing, packing
+from wattlake.llm import exact, langid, minhash, mixing, packing
 from wattlake.llm.common import documents
 
 
@@ -30,12 +30,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2)
+
+
 QUERIES = {
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
+    "op9_minhash_dedup": minhash.SQL,
     "op8_exact_dedup": exact.SQL,
 }
