@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import exact, langid, minhash, mixing, packing
+from wattlake.llm import exact, langid, minhash, mixing, packing, suffix
 from wattlake.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op1_language_id": op1_language_id,
     "op2_source_mixing": op2_source_mixing,
