@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import exact, langid, minhash, mixing, packing, suffix
-from wattlake.llm.common import documents
+from wattlake.llm import embeddings, exact, langid, minhash, mixing, packing, suffix
+from wattlake.llm.common import documents, table
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op1_language_id": op1_language_id,
@@ -47,6 +52,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
+    "op5_embedding_dedup": embeddings.SQL,
     "op9_minhash_dedup": minhash.SQL,
     "op8_exact_dedup": exact.SQL,
 }
