@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import embeddings, exact, langid, minhash, mixing, packing, suffix
+from wattlake.llm import embeddings, exact, langid, lines, minhash, mixing, packing, suffix
 from wattlake.llm.common import documents, table
 
 
@@ -22,6 +22,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -43,6 +47,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
