@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import embeddings, exact, langid, lines, minhash, mixing, packing, suffix
+from wattlake.llm import embeddings, exact, langid, licences, lines, minhash, mixing, packing, quality, suffix
 from wattlake.llm.common import documents, table
 
 
@@ -38,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -46,7 +50,13 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=2)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_license_scan": op10_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -57,6 +67,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
+    "op10_license_scan": licences.SQL,
     "op5_embedding_dedup": embeddings.SQL,
     "op9_minhash_dedup": minhash.SQL,
     "op8_exact_dedup": exact.SQL,
