@@ -70,10 +70,17 @@ TEMPLATES = (
 )
 
 
-def bigrams(norm: Column) -> Column:
-    """Distinct pairs of neighbouring words of a normalised text."""
-    words = F.split(norm, " ")
-    return F.array_distinct(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))))
+def bigrams(text: Column) -> Column:
+    """Hashes of the distinct pairs of neighbouring words of the normalised text.
+
+    The words are bound once, as the one element of an array: a plain reference would split the text anew for every word.
+    """
+
+    def pairs(words: Column) -> Column:
+        first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.array_distinct(F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1))))
+
+    return F.get(F.transform(F.array(F.split(normalised(text), " ")), pairs), 0)
 
 
 def template_table(docs: DataFrame, templates: Sequence[tuple[str, str]], percent: int) -> DataFrame:
@@ -83,18 +90,22 @@ def template_table(docs: DataFrame, templates: Sequence[tuple[str, str]], percen
     """
     spark = docs.sparkSession
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    rows = rows.select("template", "license", bigrams(normalised("text")).alias("wanted")).withColumn("b", F.size("wanted")).filter("b > 0")
+    rows = rows.select("template", "license", F.explode(F.array(bigrams(F.col("text")))).alias("wanted")).withColumn("b", F.size("wanted")).filter("b > 0")
     low = F.ceil(F.col("b") * percent / (200 - percent)).cast("int")
     high = F.floor(F.col("b") * (200 - percent) / percent).cast("int")
     return rows.withColumn("size", F.explode(F.sequence(low, high)))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, at, unit): every line, and every paragraph (between blank lines) of more than one line, numbered from 0."""
+    """(doc_id, kind, at, found): the bigrams of every line, and of every paragraph (between blank lines) of more than one line.
+
+    They are made inside the explode, so that a filter on them does not make them again. Numbers count from 0.
+    """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    lines = text.select("doc_id", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("at", "unit"))
-    blocks = text.select("doc_id", F.lit("paragraph").alias("kind"), F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("at", "unit"))
-    return lines.unionByName(blocks.filter(F.col("unit").contains("\n")))
+    lines = F.transform(F.split("text", "\n"), bigrams)
+    blocks = F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.when(F.contains(p, F.lit("\n")), bigrams(p)))
+    lined = text.select("doc_id", F.lit("line").alias("kind"), F.posexplode(lines).alias("at", "found"))
+    return lined.unionByName(text.select("doc_id", F.lit("paragraph").alias("kind"), F.posexplode(blocks).alias("at", "found")))
 
 
 def licence_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = 80) -> DataFrame:
@@ -106,8 +117,7 @@ def licence_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     Rows repeated come as often; a null doc_id stays null. The templates are a parameter of a few rows, which Spark sends to all tasks.
     """
     known = template_table(docs, templates, percent)
-    scanned = units(docs).select("doc_id", "kind", "at", bigrams(normalised("unit")).alias("found"))
-    scanned = scanned.withColumn("size", F.size("found")).filter("size > 0")
+    scanned = units(docs).withColumn("size", F.size("found")).filter("size > 0")
     met = scanned.join(known, "size").withColumn("shared", F.size(F.array_intersect("found", "wanted")))
     near = met.filter(200 * F.col("shared") >= percent * (F.col("size") + F.col("b")))
     dice = 2.0 * F.col("shared") / (F.col("size") + F.col("b"))
