@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,59 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], values: dict[
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *sums)
 
 
+def meetings(rows: DataFrame, group: str, chunks: Column) -> DataFrame:
+    """Rows with the number ``chunks`` of their group, dealt so that every two rows of a group meet in one (group, a, b).
+
+    A row is in the chunk ``mine`` of its group and goes to the meetings of that chunk with itself and with each other one. A group of one
+    chunk is one meeting; a larger one is spread over several, and none holds more than two chunks.
+    """
+    dealt = rows.withColumn("_chunks", chunks.cast("int")).withColumn("mine", F.pmod(hashed("id", seed=3), F.col("_chunks")).cast("int"))
+    pair = lambda k: F.struct(F.least("mine", k).alias("a"), F.greatest("mine", k).alias("b"))
+    dealt = dealt.withColumn("_m", F.explode(F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), pair)))
+    dealt = dealt.withColumns({"a": F.col("_m.a"), "b": F.col("_m.b")}).drop("_m", "_chunks")
+    return dealt.repartition(group, "a", "b").sortWithinPartitions(group, "a", "b", "id")
+
+
+def each_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come sorted by ``keys``, whole, whatever the batches."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        new = np.zeros(len(batch) - 1, bool)
+        for k in keys:
+            values = batch[k].to_numpy()
+            new |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+        for start, end in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield batch.iloc[start:end]
+        held = batch.iloc[cuts[-2] :]
+    if held is not None and len(held):
+        yield held
+
+
+class Forest:
+    """Union-find over positions; ``tie`` says whether it joined two trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, v: int) -> int:
+        while (up := self.parent[v]) != v:
+            self.parent[v] = v = self.parent[up]
+        return v
+
+    def tie(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def labels(self) -> np.ndarray:
+        return np.fromiter(map(self.root, range(len(self.parent))), np.int64, len(self.parent))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """Smallest id reachable for every id that has an edge to another: columns ``node``, ``component``.
 
@@ -101,7 +157,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         reached = _fingerprint(new)
         stars = new
         if reached == state:
-            return stars.select("node", F.col("to").alias("component"))
+            roots = stars.select("to").distinct().select(F.col("to").alias("node"), F.col("to").alias("component"))
+            return stars.select("node", F.col("to").alias("component")).union(roots)
         state = reached
 
 

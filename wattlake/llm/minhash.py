@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.llm.common import components, saved
+from wattlake.llm.common import Forest, components, each_group, hashed, meetings, saved
 
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 STRETCH = 1 << 20
 BITS = 2  # kept of each minimum
-LANES = 0x5555555555555555  # the lower bit of each two-bit lane
+LANES = np.uint64(0x5555555555555555)  # the lower bit of each two-bit lane
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -112,53 +112,139 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
 
 
-def estimate(a: str, b: str, functions: int) -> Column:
-    """Similarity from two packed signatures: the share of equal lanes, less what chance makes equal."""
-    different = F.lit(0)
-    for k in range(functions * BITS // 64):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LANES)))
+def alike(low: np.ndarray, other: np.ndarray, functions: int) -> np.ndarray:
+    """Similarity of every row to every other row from packed signatures: the share of equal lanes, less what chance makes equal."""
+    different = np.zeros((len(low), len(other)), np.uint16)
+    for k in range(low.shape[1]):
+        x = low[:, k][:, None] ^ other[:, k][None, :]
+        different += np.bitwise_count((x | (x >> np.uint64(1))) & LANES)
     chance = 0.5**BITS
     return (1 - different / functions - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of document ids those whose full shingle sets are ``percent`` per cent alike at least."""
-    pairs = saved(pairs.distinct(), f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _lows(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint64)
+
+
+TILE = 512
+
+
+def linked(n: int, mine: np.ndarray, same: bool, near, check) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of ``n`` rows that pass ``near`` (a matrix for two ranges of rows) and ``check`` (for one pair).
+
+    Pairs of one chunk are left to its own meeting unless ``same``. First a row is compared with the first one, then any two that are not
+    yet tied, so that a group of near copies costs about one check a row.
+    """
+    forest = Forest(n)
+    for first in {0, int(np.argmax(mine != mine[0]))} if n else ():
+        close = near(slice(first, first + 1), slice(0, n))[0]
+        close &= same | (mine != mine[first])
+        for k in np.flatnonzero(close).tolist():
+            if k != first and forest.root(first) != forest.root(k) and check(first, k):
+                forest.tie(first, k)
+                yield first, k
+    for i in range(0, n, TILE):
+        for j in range(i, n, TILE):
+            label = forest.labels()
+            x, y = slice(i, i + TILE), slice(j, j + TILE)
+            some = near(x, y) & (label[x][:, None] != label[y][None, :])
+            if not same:
+                some &= mine[x][:, None] != mine[y][None, :]
+            for p, q in zip(*(v.tolist() for v in np.nonzero(some)), strict=True):
+                if p + i < q + j and forest.root(p + i) != forest.root(q + j) and check(p + i, q + j):
+                    forest.tie(p + i, q + j)
+                    yield p + i, q + j
+
+
+def band_links(members: DataFrame, lows: DataFrame, functions: int, least: float, chunk_rows: int) -> DataFrame:
+    """(a, b): ties between documents that share a band and whose packed signatures are ``least`` alike, as spanning forests of the buckets.
+
+    Most buckets hold the same documents as another band's; of those one is looked at.
+    """
+    sizes = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"), F.bit_xor(hashed("id", seed=6)).alias("all")
+    )
+    one = sizes.filter("n > 1").groupBy("n", "x", "y", "all").agg(F.min("key").alias("key")).select("key", "n")
+    chosen = members.join(saved(one, "buckets"), "key").join(lows, "id")
+    dealt = meetings(chosen.select("key", "id", "low", "n"), "key", F.ceil(F.col("n") / chunk_rows))
+
+    def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for rows in each_group(batches, ["key", "a", "b"]):
+            ids, low = rows["id"].to_numpy(), _lows(rows["low"])
+            same = bool(rows["a"].iat[0] == rows["b"].iat[0])
+            near = lambda x, y: alike(low[x], low[y], functions) >= least  # noqa: E731, B023
+            out += [(ids[p], ids[q]) for p, q in linked(len(ids), rows["mine"].to_numpy(), same, near, lambda p, q: True)]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    return saved(dealt.select("key", "a", "b", "mine", "id", "low").mapInPandas(tie, "a long, b long"), "ties")
+
+
+def confirmed(clusters: DataFrame, docs: DataFrame, words: int, percent: int, functions: int, least: float, chunk_rows: int, chunk_shingles: int) -> DataFrame:
+    """(a, b): spanning forests of the true links inside clusters (cluster, id, n, low), each checked on the full shingle sets.
+
+    A document's set is made once and goes to the meetings of its chunk. Signatures and set sizes rule out most pairs before.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"))
+    chunks = F.greatest(F.ceil(F.col("rows") / chunk_rows), F.ceil(F.col("all") / chunk_shingles))
+    clusters = clusters.join(sizes, "cluster").withColumn("chunks", F.least(chunks, F.col("rows")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shingles = [shingle_set(text, words).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": shingles})
+            yield batch.drop(columns="text").assign(shingles=[shingle_set(text, words).tobytes() for text in batch["text"]])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[alike, ["a", "b"]]
+    wanted = texts.join(clusters.select("cluster", "id", "chunks"), "id")
+    known = saved(wanted.select("cluster", "id", "chunks", "text").mapInPandas(sets, "cluster long, id long, chunks int, shingles binary"), "sets")
+    lows = clusters.select(F.col("id").alias("_id"), "low")
+    dealt = meetings(known.join(lows, F.col("id") == F.col("_id")).drop("_id"), "cluster", F.col("chunks"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in each_group(batches, ["cluster", "a", "b"]):
+            ids, low = rows["id"].to_numpy(), _lows(rows["low"])
+            found = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+            n = np.array([len(f) for f in found])
+            same = bool(rows["a"].iat[0] == rows["b"].iat[0])
+
+            def near(x: slice, y: slice) -> np.ndarray:
+                small, large = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])  # noqa: B023
+                return (100 * small >= percent * large) & (alike(low[x], low[y], functions) >= least)  # noqa: B023
+
+            def true(p: int, q: int) -> bool:
+                if ids[p] == ids[q]:  # noqa: B023
+                    return False
+                x, y = (found[p], found[q]) if n[p] <= n[q] else (found[q], found[p])  # noqa: B023
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                return 100 * both >= percent * (len(x) + len(y) - both)
 
-    known = saved(texts.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, shingles binary"), f"{name}-sets")
-    left = known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return saved(both.mapInPandas(compare, "a long, b long"), f"{name}-confirmed")
+            links = list(linked(len(ids), rows["mine"].to_numpy(), same, near, true))
+            yield pd.DataFrame([(ids[p], ids[q]) for p, q in links], columns=["a", "b"]).astype("int64")
+
+    return saved(dealt.select("cluster", "a", "b", "mine", "id", "low", "shingles").mapInPandas(check, "a long, b long"), "links")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slack: float = 0.2
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    bands: int = 32,
+    rows: int = 4,
+    slack: float = 0.17,
+    chunk_rows: int = 1_024,
+    chunk_shingles: int = 1_000_000,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept.
 
-    Documents with equal shingle sets form a class that acts as one document. In each band, members of a bucket are compared with the
-    bucket's smallest id; then, in buckets that still hold several components, with every member of another component. So no
-    pair that shares a band stays apart unseen, while a large group of near copies costs one comparison a member. A pair is dropped
-    before confirmation only if its packed signatures put it ``slack`` below the threshold, over four standard deviations.
-    With the default 32 bands of 4 a pair just at 80 % is missed with probability 5e-8.
+    1. Equal shingle sets form a class that acts as one document.
+    2. Documents that share a band, and whose packed signatures are at most ``slack`` (four standard deviations) below the threshold, are
+       tied; ties make clusters. Two documents of 80 % share one of the 32 bands of 4 but with probability 5e-8.
+    3. Inside a cluster any two documents not yet linked are compared on their full sets, unless signatures or set sizes rule it out.
+    Tasks give back spanning forests, never pairs, and clusters and buckets above a chunk are dealt to several tasks.
 
     A text without words (empty, null) links with nothing. A null doc_id takes no part: its component is null and it is kept. Rows that
     share a doc_id are one document, linked if any of its texts is, with one decision. Other columns are ignored.
@@ -166,50 +252,24 @@ def near_duplicates(
     functions, least = bands * rows, percent / 100 - slack
     signed = saved(signatures(docs, words, bands, rows), "signed")
     able = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # The rest of a class's columns is the same in each of its rows.
-    one = able.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
-    one = saved(one, "classes")
-    leaders = able.join(one, (able.set_a == one.set_a) & (able.set_b == one.set_b) & (able.doc_id == one.id)).select("id", "bands", "low")
-    leaders = saved(leaders.dropDuplicates(["id", "low"]), "leaders")
-
-    members = leaders.select("id", "low", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    shared = saved(shared.select("key", "first"), "buckets")
-    lows = leaders.select("id", "low")
-    spokes = members.select("id", "key").join(shared, "key").filter("id != first").select("id", "first").distinct()
-    pairs = spokes.join(lows.withColumnRenamed("low", "x"), "id").join(
-        lows.select(F.col("id").alias("first"), F.col("low").alias("y")), "first"
-    )
-    pairs = pairs.filter(estimate("x", "y", functions) >= least).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    links = confirmed(pairs, docs, words, percent, "stars")
-
-    reached = components(links, name="stars")
-    placed = members.join(shared.select("key"), "key", "left_semi").join(reached, F.col("id") == F.col("node"), "left")
-    placed = saved(placed.select("id", "low", "key", F.coalesce("component", "id").alias("part")), "placed")
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    apart = saved(placed.join(split, "key", "left_semi"), "apart")
-    x = apart.select("key", F.col("id").alias("a"), F.col("low").alias("x"), F.col("part").alias("p"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("low").alias("y"), F.col("part").alias("q"))
-    more = x.join(y, (x["key"] == y["key"]) & (F.col("p") < F.col("q")) & (estimate("x", "y", functions) >= least))
-    more = more.select("a", "b").join(pairs_tested(pairs), ["a", "b"], "left_anti")
-    links = links.union(confirmed(more, docs, words, percent, "rest"))
+    one = saved(able.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "classes")
+    leaders = able.join(one, ["set_a", "set_b"]).filter(F.col("doc_id") == F.col("id"))
+    members = leaders.select("id", F.explode("bands").alias("key")).distinct()
+    lows = leaders.select("id", "n_shingles", "low")
+    ties = band_links(members, lows.select("id", "low"), functions, least, 2 * chunk_rows)
+    clusters = components(ties, name="ties").select(F.col("component").alias("cluster"), F.col("node").alias("id"))
+    clusters = saved(clusters.join(lows, "id").select("cluster", "id", F.col("n_shingles").alias("n"), "low"), "clusters")
+    links = confirmed(clusters, docs, words, percent, functions, least, chunk_rows, chunk_shingles)
 
     # A document with several texts belongs to several classes; its id ties them.
+    several = able.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).filter("x < y").select(F.col("doc_id").alias("a"))
     tied = able.join(one, ["set_a", "set_b"]).filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    several = able.groupBy("doc_id").agg(F.count_distinct("set_a", "set_b").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
     links = links.union(tied.join(several, "a", "left_semi"))
-    final = saved(components(links, name="links"), "final")
-    classed = signed.join(one, ["set_a", "set_b"], "left").withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")))
+    final = components(links, name="links")
+    classed = signed.drop("bands", "low").join(one, ["set_a", "set_b"], "left").withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")))
     out = classed.join(final, F.col("id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
-
-
-def pairs_tested(pairs: DataFrame) -> DataFrame:
-    """The pairs compared so far, either way round."""
-    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
