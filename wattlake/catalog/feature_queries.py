@@ -62,14 +62,6 @@ def _hist(m: int) -> str:
     return f"""(SELECT cod_uc, count(*) AS n, avg(fl) AS t, avg(da) AS a FROM pf WHERE data_vencimento >= {_O} - {30 * m} GROUP BY 1) h{m}"""
 
 
-def _unique_payments(spark, sf):
-    """One row per payment key, so the order inside a unit is total."""
-    return op.payments(spark, sf).groupBy("cod_pagamento").agg(
-        F.max_by(F.struct("cod_fatura", "cod_uc", "cod_base", "valor_fatura", "valor_pago", "data_vencimento", "data_pagamento"),
-                 F.struct("data_vencimento", "valor_fatura")).alias("r")
-    ).select("cod_pagamento", "r.*")
-
-
 q(
     "default_features",
     lambda s, d: ft.default_features(op.payments(s, d), OBS, op.masters(s, d)["uc"]).select(*_DEF), _PAYMENTS, _PAYF,
@@ -87,15 +79,16 @@ LEFT JOIN {_hist(6)} USING (cod_uc) LEFT JOIN {_hist(12)} USING (cod_uc) JOIN r
 q(
     "unpaid_runs",
     lambda s, d: ft.run_lengths(
-        _unique_payments(s, d), "cod_uc", [F.col("data_vencimento"), F.col("cod_pagamento")],
+        # Line keys repeat in the given tables: value and payment date make the order total up to equal rows.
+        op.payments(s, d), "cod_uc", [F.col(c) for c in ("data_vencimento", "cod_pagamento", "valor_fatura", "data_pagamento")],
         F.col("data_pagamento").isNull() | (F.col("data_pagamento") > F.col("data_vencimento")), F.trunc("data_vencimento", "month"),
     ).select("cod_pagamento", "cod_uc", "run_length"),
     _PAYMENTS,
-    """, p AS (SELECT *, (data_pagamento IS NULL OR data_pagamento > data_vencimento)::INT AS fl FROM (SELECT *, row_number() OVER (
-  PARTITION BY cod_pagamento ORDER BY data_vencimento DESC, valor_fatura DESC) AS k FROM payments) WHERE k = 1),
-g AS (SELECT *, sum(1 - fl) OVER (PARTITION BY cod_uc ORDER BY data_vencimento, cod_pagamento) AS isl FROM p)
-SELECT cod_pagamento, cod_uc, CASE WHEN fl = 0 THEN 0 ELSE CAST(sum(fl) OVER (PARTITION BY cod_uc, isl
-  ORDER BY data_vencimento, cod_pagamento) AS BIGINT) END AS run_length FROM g""",
+    """, p AS (SELECT *, (data_pagamento IS NULL OR data_pagamento > data_vencimento)::INT AS fl, row_number() OVER (PARTITION BY cod_uc
+  ORDER BY data_vencimento, cod_pagamento, valor_fatura, data_pagamento NULLS FIRST) AS k FROM payments),
+g AS (SELECT *, sum(1 - fl) OVER (PARTITION BY cod_uc ORDER BY k) AS isl FROM p)
+SELECT cod_pagamento, cod_uc, CASE WHEN fl = 0 THEN 0 ELSE CAST(sum(fl) OVER (PARTITION BY cod_uc, isl ORDER BY k) AS BIGINT) END AS run_length
+FROM g""",
 )
 q(
     "target_features",
@@ -125,10 +118,8 @@ round((e - avg(e) OVER ()) / stddev_pop(e) OVER (), 6) AS taxa_inadimplencia_zsc
 q(
     "daily_hotspots",
     lambda s, d: ft.daily_hotspots(
-        b.table(s, d, "events").withColumn("classe", F.get_json_object("props", "$.k").cast("int").cast("string")).withColumn(
-            "classe", F.substring("classe", 1, 1)),
-        "ts", "event_type", "classe"),
-    """WITH c AS (SELECT CAST(ts AS DATE) AS data, event_type AS regiao, substr(json_extract_string(props, '$.k'), 1, 1) AS classe_erro,
+        b.table(s, d, "events").withColumn("classe", F.get_json_object("props", "$.k")), "ts", "event_type", "classe"),
+    """WITH c AS (SELECT CAST(ts AS DATE) AS data, event_type AS regiao, json_extract_string(props, '$.k') AS classe_erro,
 count(*) AS qtd_erros FROM events GROUP BY 1, 2, 3),
 r AS (SELECT *, avg(qtd_erros) OVER w AS m, coalesce(stddev_samp(qtd_erros) OVER w, 0) AS sd FROM c
   WINDOW w AS (PARTITION BY regiao, classe_erro ORDER BY data ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),

@@ -53,35 +53,36 @@ q(
 )
 
 
+_FILES = {"SP": "BASE N1 2026.csv", "CE": "reclamacoes CE.csv", "OUTRA": "reclamacoes outras.csv"}
+_SHEETS = {"base_n1_sp": "Base N1", "erro_leitura": "Erro de Leitura", "reclamacao_total": "Total"}
+
+
 def _sheets(spark, sf):
+    """Every (region, type) part of the complaints as a sheet under the original headers; none of the nine columns is left out."""
     c = b.complaints(spark, sf)
     raw = c.select(
-        F.col("ordem").alias("ORDEM"), F.col("assunto").alias("ASSUNTO"), F.col("instalacao").alias("INSTALACAO"), F.col("status").alias("Status"),
-        F.col("devolutiva").alias("DEVOLUTIVA"), "_source_region", "_data_type",
+        *[F.col(column).cast("string").alias(header) for header, column in scans.COMPLAINT_HEADERS.items()], "_source_region", "_data_type"
     )
     pick = lambda region, kind: raw.filter((F.col("_source_region") == region) & (F.col("_data_type") == kind)).drop("_source_region", "_data_type")
-    return [
-        (pick("SP", "base_n1_sp"), "BASE N1 2026.csv", "Base N1"), (pick("CE", "erro_leitura"), "reclamacoes CE.csv", "Erro de Leitura"),
-        (pick("CE", "reclamacao_total"), "reclamacoes CE.csv", "Total"),
-    ]
+    return [(pick(region, kind), file, sheet) for region, file in _FILES.items() for kind, sheet in _SHEETS.items()]
 
 
+_LANDED = """, s AS (SELECT * EXCLUDE (_source_region, _data_type),
+  CASE _source_region WHEN 'SP' THEN 'BASE N1 2026.csv' WHEN 'CE' THEN 'reclamacoes CE.csv' ELSE 'reclamacoes outras.csv' END AS f,
+  CASE _data_type WHEN 'base_n1_sp' THEN 'Base N1' WHEN 'erro_leitura' THEN 'Erro de Leitura' ELSE 'Total' END AS h FROM complaints),
+l AS (SELECT *, f AS _source_file, h AS _sheet_name, CASE WHEN f LIKE 'BASE N1%' THEN 'SP' ELSE 'CE' END AS _source_region,
+  CASE WHEN f LIKE 'BASE N1%' OR h = 'Base N1' THEN 'base_n1_sp' WHEN h = 'Erro de Leitura' THEN 'erro_leitura' ELSE 'reclamacao_total' END AS _data_type FROM s)
+"""
 q(
     "landed_complaints",
     lambda s, d: scans.land_complaints(_sheets(s, d)).select("ordem", "_source_file", "_sheet_name", "_source_region", "_data_type", "_source_hash"),
     COMPLAINTS,
-    """, s AS (SELECT *, CASE WHEN _source_region = 'SP' THEN 'BASE N1 2026.csv' ELSE 'reclamacoes CE.csv' END AS f,
-  CASE _data_type WHEN 'base_n1_sp' THEN 'Base N1' WHEN 'erro_leitura' THEN 'Erro de Leitura' ELSE 'Total' END AS h FROM complaints
-  WHERE (_source_region = 'SP' AND _data_type = 'base_n1_sp') OR (_source_region = 'CE' AND _data_type <> 'base_n1_sp'))
-SELECT ordem, f AS _source_file, h AS _sheet_name, _source_region, _data_type, sha256(f || '||' || h || '||||' || ordem || '||' || coalesce(assunto, '')
-  || '||' || instalacao || '||||||' || status || '||' || devolutiva || '||') AS _source_hash FROM s""",
+    _LANDED + """SELECT ordem, _source_file, _sheet_name, _source_region, _data_type, sha256(concat_ws('||', f, h, coalesce(grupo, ''), ordem, coalesce(assunto, ''),
+  instalacao, strftime(dt_ingresso, '%Y-%m-%d %H:%M:%S'), observacao_ordem, status, devolutiva, coalesce(causa_raiz, ''))) AS _source_hash FROM l""",
 )
 q(
     "landed_summary", lambda s, d: scans.land_summary(scans.land_complaints(_sheets(s, d))), COMPLAINTS,
-    """SELECT CASE WHEN _source_region = 'SP' THEN 'BASE N1 2026.csv' ELSE 'reclamacoes CE.csv' END AS _source_file, _source_region,
-CASE _data_type WHEN 'base_n1_sp' THEN 'Base N1' WHEN 'erro_leitura' THEN 'Erro de Leitura' ELSE 'Total' END AS _sheet_name, _data_type,
-count(*) AS linhas FROM complaints WHERE (_source_region = 'SP' AND _data_type = 'base_n1_sp') OR (_source_region = 'CE'
-AND _data_type <> 'base_n1_sp') GROUP BY ALL""",
+    _LANDED + "SELECT _source_file, _source_region, _sheet_name, _data_type, count(*) AS linhas FROM l GROUP BY ALL",
 )
 add(
     "template_questions",
@@ -208,8 +209,8 @@ AS hit_rate FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 10 MINUTE, any_va
 q(
     "stream_daily_counts",
     lambda s, d: _append(
-        jobs.daily_counts(event_stream(s, d).withColumn("classe", F.substring(F.get_json_object("props", "$.k"), 1, 1)), "ts", "event_type", "classe"), s, "stream_daily"),
-    """SELECT CAST(ts AS DATE) AS data, event_type AS regiao, substr(json_extract_string(props, '$.k'), 1, 1) AS classe_erro, count(*) AS qtd_erros FROM events
+        jobs.daily_counts(event_stream(s, d).withColumn("classe", F.get_json_object("props", "$.k")), "ts", "event_type", "classe"), s, "stream_daily"),
+    """SELECT CAST(ts AS DATE) AS data, event_type AS regiao, json_extract_string(props, '$.k') AS classe_erro, count(*) AS qtd_erros FROM events
 GROUP BY 1, 2, 3 HAVING CAST(any_value(ts) AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
 )
 

@@ -79,12 +79,12 @@ add(
 q(
     "document_excerpts",
     lambda s, d: docs(s, d).select(
-        "doc_id", tx.pseudonym(F.col("source")).alias("id"), tx.excerpt(F.col("text")).alias("resumo"), tx.slug(F.substring("text", 1, 80)).alias("slug"),
+        "doc_id", tx.pseudonym(F.col("source")).alias("id"), tx.excerpt(F.col("text")).alias("resumo"), tx.slug(F.col("text")).alias("slug"),
         tx.upper_trim(F.col("source")).alias("fonte"),
     ),
     """WITH t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)
 SELECT doc_id, substr(sha256(source), 1, 12) AS id, CASE WHEN length(s) <= 220 THEN s ELSE regexp_replace(substr(s, 1, 219), ' [^ ]*$', '') || '…' END
-AS resumo, substr(regexp_replace(trim(regexp_replace(lower(substr(text, 1, 80)), '[^\\pL\\pN\\pM_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), 1, 64) AS slug,
+AS resumo, substr(regexp_replace(trim(regexp_replace(lower(text), '[^\\pL\\pN\\pM_\\s-]', '', 'g')), '[\\s_]+', '-', 'g'), 1, 64) AS slug,
 upper(source) AS fonte FROM t""",
 )
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from wattlake.operators.dedup import latest_wins
 from wattlake.plans.silver import reject_reasons
@@ -44,10 +46,8 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order
         spark = batch.sparkSession
         stage = f"{path}/_stage/{batch_id}"
         touched = batch.select(bucket).distinct()
-        try:
-            current = spark.read.schema(batch.schema).parquet(f"{path}/data").join(touched, bucket, "left_semi")
-        except Exception:  # first batch: no table yet
-            current = batch.limit(0)
+        current = written(spark, f"{path}/data", batch.schema)
+        current = batch.limit(0) if current is None else current.join(touched, bucket, "left_semi")
         merged = latest_wins(current.unionByName(batch), keys, [F.col(order)])
         merged.write.mode("overwrite").parquet(stage)
         (
@@ -58,16 +58,25 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at ``path``, None if there is none yet; any other failure to read it rises."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def split_late(stream: DataFrame, time: str, delay: str, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
     """STR03: rows older than the newest time seen so far minus the delay go to a side table instead of being lost."""
 
     def route(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(on_time).agg(F.max(time).alias("m")).select("m").scalar()
-            bound = seen - F.expr(f"INTERVAL {delay}")
-        except Exception:  # nothing written yet
-            bound = F.lit(None).cast("timestamp")
+        before = written(spark, on_time, batch.withColumn("_batch", F.lit(batch_id)).schema)
+        # Rows of this batch or a later one, left by a run that failed, are not part of what it saw: a replay routes alike.
+        newest = None if before is None else before.filter(F.col("_batch") < batch_id).agg(F.max(time)).first()[0]
+        bound = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         tagged = batch.withColumn("_late", F.coalesce(F.col(time) < bound, F.lit(False))).withColumn("_batch", F.lit(batch_id))
         tagged.filter("_late").drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(late)
         tagged.filter("NOT _late").drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(on_time)
