@@ -8,7 +8,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
     HashingTF,
     Imputer,
     NGram,
@@ -25,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattlake.functions.text import fold
+from wattlake.operators.grouping import top_per_group
 
 
 def temporal_split(df: DataFrame, date_column: str, test_date: str) -> tuple[DataFrame, DataFrame]:
@@ -239,25 +239,30 @@ def train_text(df: DataFrame, text: str, label: str) -> PipelineModel:
     )
 
 
-def topic_model(df: DataFrame, key: str, text: str, k: int, vocabulary: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """ML16: TF-IDF and k-means; assignments per key, and per topic its size and five leading terms."""
+def topic_model(df: DataFrame, key: str, text: str, k: int, buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """ML16: hashed TF-IDF and k-means; assignments per key, and per topic its size and five leading terms.
+
+    Every term counts: the hashing has no vocabulary to cut, and leading terms are aggregated over the terms themselves.
+    """
     rows = df.withColumn("_text", fold(F.col(text))).filter("_text <> ''")
     model = Pipeline(
         stages=[
             RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=3),
-            CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=vocabulary, minDF=2.0),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets),
             IDF(inputCol="_tf", outputCol="features"),
             KMeans(k=k, seed=42, featuresCol="features", predictionCol="topic_id"),
         ]
     ).fit(rows)
-    assigned = model.transform(rows).select(key, "topic_id")
-    terms = model.stages[1].vocabulary
-    leading = []
-    # Centres are k vectors of the bounded vocabulary.
-    for topic, centre in enumerate(model.stages[-1].clusterCenters()):
-        best = sorted(range(len(centre)), key=lambda i: -centre[i])[:5]
-        leading.append((topic, [terms[i] for i in best]))
-    names = df.sparkSession.createDataFrame(leading, "topic_id int, keywords array<string>")
+    placed = model.transform(rows)
+    assigned = placed.select(key, "topic_id")
+    used = placed.select(key, "topic_id", F.explode("_words").alias("termo")).groupBy("topic_id", "termo").agg(
+        F.count(F.lit(1)).alias("tf"), F.count_distinct(key).alias("df")
+    )
+    documents = rows.count()
+    frequency = used.groupBy("termo").agg(F.sum("df").alias("df"))
+    weighed = used.drop("df").join(frequency, "termo").withColumn("peso", F.col("tf") * F.log((documents + 1) / (F.col("df") + 1)))
+    top = top_per_group(weighed, ["topic_id"], [F.desc("peso"), F.asc("termo")], 5)
+    names = top.groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("peso")).alias("p"), "termo"))), lambda x: x["termo"]).alias("keywords"))
     sizes = assigned.groupBy("topic_id").agg(F.count(F.lit(1)).alias("registros"))
     taxonomy = names.join(sizes, "topic_id", "left").withColumn(
         "topic_name", F.concat_ws(" / ", F.slice("keywords", 1, 3))

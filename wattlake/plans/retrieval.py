@@ -110,49 +110,45 @@ def unit(x: Column) -> Column:
     return F.transform(values, lambda v: v / F.when(length == 0, 1.0).otherwise(length))
 
 
-# Query lists up to this size travel to the tasks as one matrix (at most a few megabytes).
-MATRIX_QUERIES = 1024
-
-
 def _units(values) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype="float64") for v in values])
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1.0, length)
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qvec: str, cvec: str, k: int) -> DataFrame:
-    """TXT08: exact nearest neighbours of every query.
+def cosine_topk(
+    queries: DataFrame, corpus: DataFrame, qkey: str, ckey: str, qvec: str, cvec: str, k: int, block: int = 256, part: int = 8192
+) -> DataFrame:
+    """TXT08: exact nearest neighbours of every query, for any number of queries.
 
-    A list of at most ``MATRIX_QUERIES`` queries is multiplied with each Arrow batch of the corpus, and only the k best
-    rows per query leave the batch. A longer list meets the corpus in bounded blocks instead. The result is the same.
+    Queries are dealt to blocks of about ``block`` and the corpus to parts of about ``part`` rows; each block meets each part in one task
+    as a matrix product, and only the k best rows per query leave it.
     """
-    listed = queries.select(qkey, qvec).limit(MATRIX_QUERIES + 1).collect()
-    order = [F.desc("cosseno"), F.asc(ckey)]
-    if len(listed) <= MATRIX_QUERIES:
-        names = [r[0] for r in listed]
-        matrix = _units([r[1] for r in listed]) if listed else np.zeros((0, 1))
-
-        def best(batches):
-            for pdf in batches:
-                if not len(pdf) or not names:
-                    continue
-                scores = np.round(_units(pdf[cvec]) @ matrix.T, 9)
-                ids = pdf[ckey].to_numpy()
-                for j, name in enumerate(names):
-                    top = np.lexsort((ids, -scores[:, j]))[:k]
-                    yield pd.DataFrame({qkey: [name] * len(top), ckey: ids[top], "cosseno": scores[top, j]})
-
-        kinds = dict(queries.dtypes) | dict(corpus.dtypes)
-        found = corpus.select(ckey, cvec).mapInPandas(
-            best, f"{qkey} {dict(queries.dtypes)[qkey]}, {ckey} {kinds[ckey]}, cosseno double"
-        )
-        return top_per_group(found, [qkey], order, k)
-    rows = corpus.select(F.col(ckey), unit(F.col(cvec)).alias("_v"))
-    payload = F.struct(F.col(qkey).alias("q"), unit(F.col(qvec)).alias("v"))
-    pairs = with_queries(rows, queries, payload, ckey, qkey)
-    dot = F.aggregate(F.zip_with("_v", F.col("_q.v"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    scored = pairs.select(F.col("_q.q").alias(qkey), ckey, F.round(dot, 9).alias("cosseno"))
-    return top_per_group(scored, [qkey], order, k)
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(1, -(-corpus.count() // part))
+    at = ["_block", "_part"]
+    asked = queries.select(
+        F.col(qkey), F.col(qvec).alias("_v"), F.pmod(F.xxhash64(qkey), F.lit(blocks)).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"),
+    )
+    rows = corpus.select(
+        F.col(ckey), F.col(cvec).alias("_v"), F.pmod(F.xxhash64(ckey), F.lit(parts)).cast("int").alias("_part"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    )
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            scores = np.round(_units(c["_v"]) @ _units(q["_v"]).T, 9)
+            ids = c[ckey].to_numpy()
+            for j, name in enumerate(q[qkey]):
+                top = np.lexsort((ids, -scores[:, j]))[:k]
+                out.append(pd.DataFrame({qkey: [name] * len(top), ckey: ids[top], "cosseno": scores[top, j]}))
+        return pd.concat(out) if out else pd.DataFrame({qkey: [], ckey: [], "cosseno": []})
+
+    schema = f"{qkey} {dict(queries.dtypes)[qkey]}, {ckey} {dict(corpus.dtypes)[ckey]}, cosseno double"
+    found = asked.groupBy(*at).cogroup(rows.groupBy(*at)).applyInPandas(best, schema)
+    return top_per_group(found, [qkey], [F.desc("cosseno"), F.asc(ckey)], k)
 
 
 def _bm25(tf: Column, length: Column, average: Column, n: Column, df: Column) -> Column:
