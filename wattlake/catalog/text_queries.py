@@ -269,27 +269,38 @@ q(
 
 
 def _eval_cases(spark, sf):
-    """Ranked documents of each passage against the documents that hold its opening eight words.
+    """Ranked documents of each passage against the documents that hold the whole passage, word for word.
 
-    Documents and passages meet on hashed eight-word windows, an equi-join over text that grows with the corpus.
+    Documents and passages meet on hashed windows of up to eight opening words, an equi-join over text that grows with the corpus; of
+    those that meet the whole passage is compared.
     """
     ranked = _hybrid(spark, sf).select("item_id", "doc_id", F.round("score", 6).alias("s"))
     retrieved = ranked.groupBy("item_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("n"), "doc_id"))), lambda e: e["doc_id"].cast("string")).alias("retrieved")
     )
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\w+"), F.lit(0))
-    bench = b.table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("janela"))
-    windows = docs(spark, sf).select("doc_id", words(F.col("text")).alias("w")).filter("size(w) >= 8").select(
-        "doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("janela")
+    opening = 8
+    bench = b.table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("p")).filter("size(p) > 0").select(
+        "item_id", F.array_join("p", " ").alias("passagem"), F.least(F.size("p"), F.lit(opening)).alias("n"),
+        F.array_join(F.slice("p", 1, opening), " ").alias("janela"),
     )
-    expected = windows.join(bench, "janela", "left_semi").distinct().join(bench, "janela").groupBy("item_id").agg(
+    lengths = F.array(*[F.lit(r["n"]) for r in bench.select("n").distinct().collect()]).cast("array<int>")  # at most eight numbers
+    rows = docs(spark, sf).select("doc_id", words(F.col("text")).alias("w"))
+    sized = rows.select("doc_id", "w", F.explode(lengths).alias("n")).filter(F.size("w") >= F.col("n"))
+    windows = sized.select(
+        "doc_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("janela")
+    )
+    met = windows.join(bench.select("n", "janela").distinct(), ["n", "janela"], "left_semi").distinct().join(bench, ["n", "janela"])
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    held = met.join(rows.select("doc_id", spaced(F.array_join("w", " ")).alias("texto")), "doc_id").filter(F.contains("texto", spaced(F.col("passagem"))))
+    expected = held.select("item_id", "doc_id").distinct().groupBy("item_id").agg(
         F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("expected")
     )
     return retrieved.join(expected, "item_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
 
 
 _EVAL = """
-bw AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\pL\\pM\\pN_]+')[1:8], ' ') || ' ' AS j FROM benchmark),
+bw AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\pL\\pM\\pN_]+'), ' ') || ' ' AS j FROM benchmark),
 dw AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\pL\\pM\\pN_]+'), ' ') || ' ' AS t FROM documents),
 ex AS MATERIALIZED (SELECT item_id, doc_id FROM bw JOIN dw ON contains(t, j)),
 rk AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS r FROM hs),
