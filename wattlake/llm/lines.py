@@ -7,15 +7,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlake.llm.common import components, saved
+from wattlake.llm.common import components, runtime_filters, saved
 
 # Of 64 bits at most three may differ, so of these five blocks two at least are equal.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DIFFERENT_BITS = 3
-CHUNK = 127  # words counted in lanes of eight bits, so that the highest lane stays positive
-ONES = 0x0101010101010101
-EVEN = 0x00FF00FF00FF00FF  # every second lane, with room above
-STEPS = 0x0001000100010001
+STEPS = 0x0001000100010001  # the lowest bit of each of four lanes of 16
+LONGEST = 4_096  # characters of a line that is compared by more than equality; so it has at most 2,048 words
+TELLING = 5  # letters of a word that counts for the SimHash: short ones are the same in any line
+FEWEST = 3  # such words that a line must have to be compared by more than equality
 
 
 def normalised(line: str | Column) -> Column:
@@ -24,53 +24,38 @@ def normalised(line: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _counts(hashes: Column, finish) -> Column:
-    """How often each bit is set in up to ``CHUNK`` hashes, in eight words of eight lanes, given to ``finish``."""
-    start = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(8)])
+def lane(j: int) -> Column:
+    """Bits j, j + 16, j + 32 and j + 48 of a word's hash, each in a lane of its own."""
+    return F.shiftrightunsigned("hash", j).bitwiseAND(F.lit(STEPS))
 
-    def add(state: Column, x: Column) -> Column:
-        return F.struct(*[(state[f"s{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(ONES))).alias(f"s{j}") for j in range(8)])
 
-    return F.aggregate(hashes, start, add, finish)
-
-
-def simhash(hashes: Column, n: Column) -> Column:
-    """64-bit SimHash of the word hashes: a bit is set if more than half of the words set it."""
-
-    def majority(state: Column) -> Column:
-        lift = (F.lit(255) - F.shiftright(n, 1)).cast("long") * F.lit(STEPS)  # carries a lane above half of n to its ninth bit
-        out = F.lit(0).cast("long")
-        for j in range(8):
-            for half in (0, 8):
-                lanes = F.shiftrightunsigned(state[f"s{j}"], half).bitwiseAND(F.lit(EVEN)) + lift
-                out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lanes, 8).bitwiseAND(F.lit(STEPS)), j + half))
-        return out
-
-    short = _counts(hashes, majority)
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")),
-        lambda k: _counts(F.slice(hashes, k * CHUNK + 1, F.lit(CHUNK)), lambda s: F.array(*[s[f"s{j}"] for j in range(8)])),
-    )
-
-    def bit(b: Column) -> Column:
-        lane = lambda part: F.call_function("shiftrightunsigned", F.get(part, b % 8), F.floor(b / 8).cast("int") * 8)
-        total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, part: a + lane(part).bitwiseAND(F.lit(255).cast("long")))
-        return F.call_function("shiftleft", (total * 2 > n).cast("long"), b)
-
-    long = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, b: f.bitwiseOR(bit(b)))
-    return F.when(n <= CHUNK, short).otherwise(long)
+def majority(n: Column) -> Column:
+    """64-bit SimHash from the 16 lane sums of up to 2,048 words: a bit is set if more than half of the words set it."""
+    lift = (F.lit(4095) - F.shiftright(n, 1)).cast("long") * F.lit(STEPS)  # carries a lane above half of n to its bit 12
+    out = F.lit(0).cast("long")
+    for j in range(16):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + lift, 12).bitwiseAND(F.lit(STEPS)), j))
+    return out
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, at, line, simhash, chars) for each line of ``min_words`` words or more; ``line`` names its normalised text."""
+    """(doc_id, text_key, at, line, simhash, chars) for each line of ``min_words`` words or more; ``line`` names its normalised text.
+
+    Words are counted in one aggregation keyed by row and line number, so it is even whatever repeats, and sums are made before the shuffle.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("at", "raw"))
-    rows = rows.select("doc_id", "text_key", "at", normalised("raw").alias("norm"))
-    rows = rows.withColumn("words", F.split("norm", " ")).withColumn("n", F.size("words")).filter((F.col("n") >= min_words) & (F.col("norm") != ""))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    return rows.select(
-        "doc_id", "text_key", "at", F.xxhash64("norm").alias("line"), simhash(F.col("hashes"), F.col("n")).alias("simhash"), F.length("norm").alias("chars")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    rows = rows.withColumn("norm", normalised("raw"))
+    rows = rows.select("row", "doc_id", "text_key", "at", F.xxhash64("norm").alias("line"), F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
+    rows = rows.withColumn("words", F.when(F.col("chars") <= LONGEST, F.col("words"))).select("*", F.explode_outer("words").alias("word")).drop("words")
+    rows = rows.withColumn("hash", F.when(F.length("word") >= TELLING, F.xxhash64("word")))
+    summed = rows.groupBy("row", "doc_id", "text_key", "at", "line", "chars").agg(
+        F.count("word").cast("int").alias("n"), F.count("hash").cast("int").alias("told"), *[F.sum(lane(j)).alias(f"s{j}") for j in range(16)]
     )
+    long = F.col("chars") > LONGEST
+    able = summed.filter(long | (F.col("n") >= min_words))
+    return able.select("doc_id", "text_key", "at", "line", F.when(F.col("told") >= FEWEST, majority(F.col("told"))).alias("simhash"), "chars")
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -88,7 +73,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(F.expr(f"levenshtein(x, y, {room}) >= 0")).select("a", "b")
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80, max_chars: int = 4_096) -> DataFrame:
+def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
     """(line, component) of lines that are near another: SimHashes at most three bits apart and edit similarity of ``percent`` per cent.
 
     Five blocks of the SimHash, two at a time, give ten keys; near lines share one. In a bucket every line is compared with the smallest one, and
@@ -103,20 +88,29 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80, max_chars:
     keys = [
         (part(*p) * (1 << q[1]) + part(*q) + F.lit(k << 26).cast("long")).cast("int") for k, (p, q) in enumerate(combinations(BLOCKS, 2))
     ]
-    members = distinct.filter(F.col("chars") <= max_chars).select("line", "simhash", "chars", F.explode(F.array(*keys)).alias("key"))
+    members = distinct.filter(F.col("simhash").isNotNull()).select("line", F.explode(F.array(*keys)).alias("key"))
     bucket = Window.partitionBy("key")
-    me = F.struct("line", "simhash", "chars")
-    buckets = members.select("key", me.alias("m"), F.min(me).over(bucket).alias("c"), F.max("line").over(bucket).alias("last"))
-    buckets = saved(buckets.filter(F.col("c.line") < F.col("last")).select("key", "m", "c"), "lines-buckets")
+    met = members.select("key", "line", F.min("line").over(bucket).alias("first"), F.max("line").over(bucket).alias("last"), F.count("line").over(bucket).alias("n"))
+    met = saved(met.filter("first < last").select("key", "line", "first", "n"), "lines-met")
+    known = distinct.select("line", F.struct("line", "simhash", "chars").alias("m"))
+    centre = distinct.select(F.col("line").alias("first"), F.struct("line", "simhash", "chars").alias("c"))
+    buckets = met.join(known, "line").join(centre, "first").select("key", "m", "c", "n")
+    # Two lines that met by chance are told apart at once.
+    chance = (F.col("n") == 2) & (F.col("m.line") != F.col("c.line")) & ~_near("m", "c", percent)
+    odd = F.max(F.when(chance, 1)).over(bucket).isNotNull()
+    buckets = saved(buckets.withColumn("odd", odd).filter("NOT odd").select("key", "m", "c"), "lines-buckets")
 
     wanted = buckets.select(F.col("m.line").alias("line")).distinct().join(distinct.select("line", "spot"), "line")
     wanted = wanted.groupBy("spot.doc_id", "spot.text_key").agg(F.collect_list(F.struct(F.col("spot.at").alias("at"), "line")).alias("places"))
+    # A filter on the written side lets Spark pass its Bloom filter to the scan, so that only texts with such lines are shuffled.
+    wanted = saved(wanted, "lines-wanted").filter(F.col("text_key") >= F.lit(-(1 << 63)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text")).alias("d")
     found = keyed.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")))
     found = found.select(F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
     texts = found.select(F.col("p.line").alias("line"), normalised(F.get("all", F.col("p.at"))).alias("norm"))
-    texts = saved(texts.dropDuplicates(["line"]), "lines-texts")
+    with runtime_filters(docs.sparkSession):
+        texts = saved(texts.dropDuplicates(["line"]), "lines-texts")
 
     tested = buckets.filter((F.col("m.line") != F.col("c.line")) & _near("m", "c", percent))
     tested = saved(tested.select(F.col("c.line").alias("a"), F.col("m.line").alias("b")).distinct(), "lines-stars")
