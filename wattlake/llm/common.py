@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -53,27 +52,6 @@ def saved(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Spark's Bloom filters between the two sides of a join, for inputs of any size; a filter is bounded by Spark's maxNumBits (8 MB).
-_FILTERS = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-}
-
-
-@contextmanager
-def runtime_filters(spark: SparkSession) -> Iterator[None]:
-    """Joins run inside may filter the scan of their larger side by what the smaller side holds; the result is the same."""
-    before = {k: spark.conf.get(k, None) for k in _FILTERS}
-    for k, v in _FILTERS.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def hashed(*columns: str | Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlake.llm.common import components, runtime_filters, saved
+from wattlake.llm.common import components, saved
 
 # Of 64 bits at most three may differ, so of these five blocks two at least are equal.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -66,11 +66,15 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of lines those of enough edit similarity: one less the edit distance over the longer length."""
+    """Of pairs (a, b) of lines those of enough edit similarity: one less the edit distance over the longer length.
+
+    Most near lines differ in a few letters, so a narrow band is tried first and the full one only where that says no.
+    """
     x = texts.select(F.col("line").alias("a"), F.col("norm").alias("x"))
     y = texts.select(F.col("line").alias("b"), F.col("norm").alias("y"))
-    room = "cast(floor(greatest(length(x), length(y)) * {} / 100) as int)".format(100 - percent)
-    return pairs.join(x, "a").join(y, "b").filter(F.expr(f"levenshtein(x, y, {room}) >= 0")).select("a", "b")
+    within = "levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {} / 100) as int)) >= 0"
+    close = F.expr(f"{within.format(min(4, 100 - percent))} OR {within.format(100 - percent)}")
+    return pairs.join(x, "a").join(y, "b").filter(close).select("a", "b")
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -102,15 +106,12 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFram
 
     wanted = buckets.select(F.col("m.line").alias("line")).distinct().join(distinct.select("line", "spot"), "line")
     wanted = wanted.groupBy("spot.doc_id", "spot.text_key").agg(F.collect_list(F.struct(F.col("spot.at").alias("at"), "line")).alias("places"))
-    # A filter on the written side lets Spark pass its Bloom filter to the scan, so that only texts with such lines are shuffled.
-    wanted = saved(wanted, "lines-wanted").filter(F.col("text_key") >= F.lit(-(1 << 63)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text")).alias("d")
     found = keyed.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")))
     found = found.select(F.split("text", "\n").alias("all"), F.explode("places").alias("p"))
     texts = found.select(F.col("p.line").alias("line"), normalised(F.get("all", F.col("p.at"))).alias("norm"))
-    with runtime_filters(docs.sparkSession):
-        texts = saved(texts.dropDuplicates(["line"]), "lines-texts")
+    texts = saved(texts.dropDuplicates(["line"]), "lines-texts")
 
     tested = buckets.filter((F.col("m.line") != F.col("c.line")) & _near("m", "c", percent))
     tested = saved(tested.select(F.col("c.line").alias("a"), F.col("m.line").alias("b")).distinct(), "lines-stars")
