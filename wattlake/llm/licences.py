@@ -70,6 +70,9 @@ TEMPLATES = (
 )
 
 
+SENT = 1 << 20  # characters of templates up to which they are sent to every task; beyond it Spark shuffles or sends by its own estimate
+
+
 def bigrams(text: Column) -> Column:
     """Hashes of the distinct pairs of neighbouring words of the normalised text.
 
@@ -114,10 +117,13 @@ def licence_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     A line or paragraph is a notice if the Dice coefficient of its distinct word bigrams and a template's is ``percent`` per cent or more; of
     several templates the one with the largest coefficient counts, of equal ones the first name. Templates are tried only on texts
     whose size can reach that. Null, empty and one-word texts hold none. A long text is one unit per line and paragraph, taken whole.
-    Rows repeated come as often; a null doc_id stays null. The templates are a parameter of a few rows, which Spark sends to all tasks.
+    Rows repeated come as often; a null doc_id stays null. Templates are a
+    parameter; up to ``SENT`` characters of them go to every task, so that texts stay where they are.
     """
     known = template_table(docs, templates, percent)
     scanned = units(docs).withColumn("size", F.size("found")).filter("size > 0")
+    if sum(len(text) for _, text in templates) <= SENT:
+        known = F.broadcast(known)
     met = scanned.join(known, "size").withColumn("shared", F.size(F.array_intersect("found", "wanted")))
     near = met.filter(200 * F.col("shared") >= percent * (F.col("size") + F.col("b")))
     dice = 2.0 * F.col("shared") / (F.col("size") + F.col("b"))
