@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication with DataFrame functions alone: SimHash, pigeonhole blocks, edit similarity."""
+"""Fuzzy line deduplication with DataFrame functions alone: SimHash, pigeonhole blocks, shared character runs, edit similarity."""
 
 from __future__ import annotations
 
@@ -13,9 +13,13 @@ from wattlake.llm.common import components, saved
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DIFFERENT_BITS = 3
 STEPS = 0x0001000100010001  # the lowest bit of each of four lanes of 16
-LONGEST = 4_096  # characters of a line that is compared by more than equality; so it has at most 2,048 words
+LONGEST = 4_096  # characters of a line that has a SimHash; so it has at most 2,048 words. Longer ones meet by their grams
 TELLING = 5  # letters of a word that counts for the SimHash: short ones are the same in any line
-FEWEST = 3  # such words that a line must have to be compared by more than equality
+FEWEST = 3  # such words that a line must have for a SimHash; others meet by their grams
+# Characters of a gram, and the shortest and longest line that has them. Of two near lines the shorter one has 80 % of the length at
+# least, so at 80 per cent both have grams of one size.
+GRAMS = ((2, 1, 9), (3, 8, 24), (8, 20, 64), (12, 52, 1 << 30))
+SLOTS_LOG = 5  # 2**5 classes of gram hashes; of each class the smallest hash is a key
 
 
 def normalised(line: str | Column) -> Column:
@@ -38,6 +42,36 @@ def majority(n: Column) -> Column:
     return out
 
 
+def gram_keys(norm: str) -> Column:
+    """The keys by which a line meets lines that share a run of characters: hashes of all its grams, or of many the smallest of each class.
+
+    Bit 40 is set, so no key is one of a SimHash.
+    """
+    chars = F.length(norm)
+    none = F.array().cast("array<string>")
+    runs = [
+        F.when(chars.between(lo, hi), F.regexp_extract_all(norm, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))).otherwise(none) for n, lo, hi in GRAMS
+    ]
+    hashes = F.sort_array(F.transform(F.concat(*runs), lambda g: F.xxhash64(g).bitwiseOR(F.lit(1 << 40))))
+    slot = lambda h: F.shiftright(h, 64 - SLOTS_LOG)
+    least = lambda s: F.filter(s, lambda h, i: (i == 0) | (slot(F.get(s, i - 1)) != slot(h)))
+    few = lambda s: F.when(F.size(s) <= 1 << SLOTS_LOG, F.array_distinct(s)).otherwise(least(s))
+    return F.get(F.transform(F.array(hashes), few), 0)
+
+
+def gram_members(docs: DataFrame, min_words: int) -> DataFrame:
+    """(line, key) for each distinct line of ``line_table`` and each of its gram keys; a line that is everywhere is one row a task first."""
+    rows = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("raw"))
+    rows = rows.select(normalised("raw").alias("norm")).filter(able("norm", min_words))
+    rows = rows.select(F.xxhash64("norm").alias("line"), gram_keys("norm").alias("keys"))
+    return rows.groupBy("line").agg(F.first("keys").alias("keys")).select("line", F.explode("keys").alias("key"))
+
+
+def able(norm: str, min_words: int) -> Column:
+    """Whether a line is compared: it has ``min_words`` words, or is longer than any that is counted in words."""
+    return (F.length(norm) > LONGEST) | (F.size(F.split(norm, " ")) >= min_words)
+
+
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_key, at, line, simhash, chars) for each line of ``min_words`` words or more; ``line`` names its normalised text.
 
@@ -58,9 +92,10 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return able.select("doc_id", "text_key", "at", "line", F.when(F.col("told") >= FEWEST, majority(F.col("told"))).alias("simhash"), "chars")
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether two lines can be near by their SimHash and their lengths."""
+def _near(a: str, b: str, percent: int, key: Column) -> Column:
+    """Whether two lines that share a key can be near by their lengths and, if the key is one of a SimHash, by their SimHashes."""
     bits = F.bit_count(F.col(f"{a}.simhash").bitwiseXOR(F.col(f"{b}.simhash"))) <= DIFFERENT_BITS
+    bits = (F.shiftrightunsigned(key, 32) != 0) | bits
     x, y = F.col(f"{a}.chars"), F.col(f"{b}.chars")
     return bits & (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
@@ -77,10 +112,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(close).select("a", "b")
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(line, component) of lines that are near another: SimHashes at most three bits apart and edit similarity of ``percent`` per cent.
+def near_lines(lines: DataFrame, docs: DataFrame, min_words: int, percent: int = 80) -> DataFrame:
+    """(line, component) of lines that are near another: a shared key and edit similarity of ``percent`` per cent.
 
-    Five blocks of the SimHash, two at a time, give ten keys; near lines share one. In a bucket every line is compared with the smallest one, and
+    Five blocks of the SimHash, two at a time, give ten keys; lines at most three bits apart share one. A word that changes moves the SimHash
+    of a line further than that, so lines of any length also meet by their ``gram_keys``: what an edit leaves in one piece. In a bucket every line is compared with the smallest one, and
     then, where a bucket still holds several components, with the lines of other components. So a large bucket of variants costs one
     comparison a line, and no near pair stays apart.
     """
@@ -90,9 +126,10 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFram
     distinct = saved(distinct, "lines-distinct")
     part = lambda lo, n: F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
     keys = [
-        (part(*p) * (1 << q[1]) + part(*q) + F.lit(k << 26).cast("long")).cast("int") for k, (p, q) in enumerate(combinations(BLOCKS, 2))
+        (part(*p) * (1 << q[1]) + part(*q) + F.lit(k << 26).cast("long")) for k, (p, q) in enumerate(combinations(BLOCKS, 2))
     ]
     members = distinct.filter(F.col("simhash").isNotNull()).select("line", F.explode(F.array(*keys)).alias("key"))
+    members = members.unionByName(gram_members(docs, min_words))
     bucket = Window.partitionBy("key")
     met = members.select("key", "line", F.min("line").over(bucket).alias("first"), F.max("line").over(bucket).alias("last"), F.count("line").over(bucket).alias("n"))
     met = saved(met.filter("first < last").select("key", "line", "first", "n"), "lines-met")
@@ -100,7 +137,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFram
     centre = distinct.select(F.col("line").alias("first"), F.struct("line", "simhash", "chars").alias("c"))
     buckets = met.join(known, "line").join(centre, "first").select("key", "m", "c", "n")
     # Two lines that met by chance are told apart at once.
-    chance = (F.col("n") == 2) & (F.col("m.line") != F.col("c.line")) & ~_near("m", "c", percent)
+    chance = (F.col("n") == 2) & (F.col("m.line") != F.col("c.line")) & ~_near("m", "c", percent, F.col("key"))
     odd = F.max(F.when(chance, 1)).over(bucket).isNotNull()
     buckets = saved(buckets.withColumn("odd", odd).filter("NOT odd").select("key", "m", "c"), "lines-buckets")
 
@@ -113,7 +150,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFram
     texts = found.select(F.col("p.line").alias("line"), normalised(F.get("all", F.col("p.at"))).alias("norm"))
     texts = saved(texts.dropDuplicates(["line"]), "lines-texts")
 
-    tested = buckets.filter((F.col("m.line") != F.col("c.line")) & _near("m", "c", percent))
+    tested = buckets.filter((F.col("m.line") != F.col("c.line")) & _near("m", "c", percent, F.col("key")))
     tested = saved(tested.select(F.col("c.line").alias("a"), F.col("m.line").alias("b")).distinct(), "lines-stars")
     links = saved(_verified(tested, texts, percent), "lines-links")
     reached = components(links, name="lines-stars")
@@ -123,7 +160,7 @@ def near_lines(lines: DataFrame, docs: DataFrame, percent: int = 80) -> DataFram
     apart = placed.join(mixed, "key", "left_semi")
     u = apart.select("key", F.col("m").alias("u"), F.col("part").alias("p"))
     v = apart.select("key", F.col("m").alias("v"), F.col("part").alias("q"))
-    more = u.join(v, (u["key"] == v["key"]) & (F.col("p") < F.col("q")) & _near("u", "v", percent))
+    more = u.join(v, (u["key"] == v["key"]) & (F.col("p") < F.col("q")) & _near("u", "v", percent, u["key"]))
     more = more.select(F.least("u.line", "v.line").alias("a"), F.greatest("u.line", "v.line").alias("b")).distinct()
     more = saved(more.join(tested, ["a", "b"], "left_anti"), "lines-more")
     links = links.union(saved(_verified(more, texts, percent), "lines-rest"))
@@ -138,7 +175,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 80) -> Da
     decision.
     """
     lines = saved(line_table(docs, min_words), "lines")
-    near = near_lines(lines, docs, percent)
+    near = near_lines(lines, docs, min_words, percent)
     spots = lines.select("doc_id", "text_key", "at", "line").join(near, "line", "left")
     spots = spots.withColumns({"part": F.coalesce("component", "line"), "spot": F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "at")})
     firsts = spots.groupBy("part").agg(F.min("spot").alias("first"), F.max("spot").alias("last")).filter("first < last").select("part", "first")
