@@ -70,3 +70,15 @@ def test_recall_of_changed_lines(spark):
         found = sum(part[x] == part[y] for x, y in pairs)
         print(f"{name}: {found} of {len(pairs)}")
         assert found >= 0.98 * len(pairs) > 200
+
+
+def test_lines_without_simhash(spark):
+    """Lines above 4,096 characters and lines of short words have no SimHash, yet their near copies go."""
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(1_500))
+    edited = "".join("" if k % 40 == 7 else c for k, c in enumerate(long))
+    short = "we go up to it as he is at an inn by the sea"
+    rows = [(1, long + "\n" + short), (2, edited), (3, short.replace("inn", "elm"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(edited) > 4_096 and all(r.simhash is None for r in lines.line_table(frame, 5).collect())
+    assert {r.doc_id: r.removed_lines for r in lines.line_report(frame).collect()} == {1: [], 2: [0], 3: [0]}

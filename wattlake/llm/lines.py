@@ -171,7 +171,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 80) -> Da
     """(doc_id, text_key, at): the lines that go, all but the first of each connected group of equal or near lines.
 
     The first is the one with the smallest (doc_id, text, line number); null ids come last. Lines of fewer than ``min_words`` words stay. Lines
-    longer than 4,096 characters go only if their normalised texts are equal. Rows repeated with the same doc_id and text share one
+    of any length are compared whole. Rows repeated with the same doc_id and text share one
     decision.
     """
     lines = saved(line_table(docs, min_words), "lines")
