@@ -82,3 +82,11 @@ def test_lines_without_simhash(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert len(edited) > 4_096 and all(r.simhash is None for r in lines.line_table(frame, 5).collect())
     assert {r.doc_id: r.removed_lines for r in lines.line_report(frame).collect()} == {1: [], 2: [0], 3: [0]}
+
+
+def test_lines_of_few_words(spark):
+    """A line of few words counts by its characters, and each letter of a script without spaces is a word."""
+    han, thai = "数据处理需要清洗重复的内容", "การประมวลผล"
+    rows = [(1, f"{han}\nacknowledgements bibliography\nshort line\n{thai}"), (2, f"{han[:-1]}\nAcknowledgements: bibliography.\nshort line\n{thai}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed_lines for r in lines.line_report(frame).collect()} == {1: [], 2: [0, 1, 3]}

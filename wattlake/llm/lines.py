@@ -19,6 +19,7 @@ FEWEST = 3  # such words that a line must have for a SimHash; others meet by the
 # Characters of a gram, and the shortest and longest line that has them. Of two near lines the shorter one has 80 % of the length at
 # least, so at 80 per cent both have grams of one size.
 GRAMS = ((2, 1, 9), (3, 8, 24), (8, 20, 64), (12, 52, 1 << 30))
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"  # all but letters of scripts without spaces
 SLOTS_LOG = 5  # 2**5 classes of gram hashes; of each class the smallest hash is a key
 
 
@@ -68,28 +69,27 @@ def gram_members(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def able(norm: str, min_words: int) -> Column:
-    """Whether a line is compared: it has ``min_words`` words, or is longer than any that is counted in words."""
-    return (F.length(norm) > LONGEST) | (F.size(F.split(norm, " ")) >= min_words)
+    """Whether a line is compared: it has ``min_words`` words or four times as many characters; a letter of a script without spaces is a word."""
+    letters = F.length(F.regexp_replace(norm, UNSPACED, ""))
+    return (F.length(norm) >= 4 * min_words) | (F.size(F.split(norm, " ")) >= min_words) | (letters >= min_words)
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, at, line, simhash, chars) for each line of ``min_words`` words or more; ``line`` names its normalised text.
+    """(doc_id, text_key, at, line, simhash, chars) for each line that is ``able``; ``line`` names its normalised text.
 
     Words are counted in one aggregation keyed by row and line number, so it is even whatever repeats, and sums are made before the shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    rows = rows.withColumn("norm", normalised("raw"))
+    rows = rows.withColumn("norm", normalised("raw")).filter(able("norm", min_words))
     rows = rows.select("row", "doc_id", "text_key", "at", F.xxhash64("norm").alias("line"), F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
     rows = rows.withColumn("words", F.when(F.col("chars") <= LONGEST, F.col("words"))).select("*", F.explode_outer("words").alias("word")).drop("words")
     rows = rows.withColumn("hash", F.when(F.length("word") >= TELLING, F.xxhash64("word")))
     summed = rows.groupBy("row", "doc_id", "text_key", "at", "line", "chars").agg(
-        F.count("word").cast("int").alias("n"), F.count("hash").cast("int").alias("told"), *[F.sum(lane(j)).alias(f"s{j}") for j in range(16)]
+        F.count("hash").cast("int").alias("told"), *[F.sum(lane(j)).alias(f"s{j}") for j in range(16)]
     )
-    long = F.col("chars") > LONGEST
-    able = summed.filter(long | (F.col("n") >= min_words))
-    return able.select("doc_id", "text_key", "at", "line", F.when(F.col("told") >= FEWEST, majority(F.col("told"))).alias("simhash"), "chars")
+    return summed.select("doc_id", "text_key", "at", "line", F.when(F.col("told") >= FEWEST, majority(F.col("told"))).alias("simhash"), "chars")
 
 
 def _near(a: str, b: str, percent: int, key: Column) -> Column:
@@ -170,8 +170,8 @@ def near_lines(lines: DataFrame, docs: DataFrame, min_words: int, percent: int =
 def repeated_lines(docs: DataFrame, min_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, at): the lines that go, all but the first of each connected group of equal or near lines.
 
-    The first is the one with the smallest (doc_id, text, line number); null ids come last. Lines of fewer than ``min_words`` words stay. Lines
-    of any length are compared whole. Rows repeated with the same doc_id and text share one
+    The first is the one with the smallest (doc_id, text, line number); null ids come last. Lines of fewer than ``min_words`` words and
+    fewer than four times as many characters stay; each letter of a script without spaces is a word. Longer lines of any length are compared whole. Rows repeated with the same doc_id and text share one
     decision.
     """
     lines = saved(line_table(docs, min_words), "lines")
