@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.llm.common import hashed, saved
@@ -36,13 +36,12 @@ def _top_counts(sample: DataFrame, order: int) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(sample: DataFrame, order: int) -> PpmModel:
-    """Interpolated modified Kneser-Ney model for every language of ``sample`` (lang, text), as code lengths.
+def gram_tables(sample: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Interpolated modified Kneser-Ney model for every language of ``sample`` (lang, text): its grams with ``alpha``, its contexts with ``gamma``.
 
     The longest grams have their counts, shorter ones the number of different bytes that come before them. Each count is lowered by one of
     three discounts, found from how many grams were seen once to four times; what that frees in a context goes to the next shorter
-    one. Counts, context sums and discounts meet in joins sharded by gram; the tables that reach the driver are as large as the
-    sample makes them, which ``train`` bounds. Where a count of counts is 0 the discounts are 0.5, 1 and 1.5.
+    one. Counts, context sums and discounts meet in joins sharded by gram. Where a count of counts is 0 the discounts are 0.5, 1 and 1.5.
     """
     level = _top_counts(sample, order)
     found = None
@@ -67,8 +66,80 @@ def kneser_ney(sample: DataFrame, order: int) -> PpmModel:
         "gamma", (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
     )
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    alpha = grams.join(context, ["lang", "size", "context"]).select("lang", "size", "gram", ((F.col("n") - taken) / F.col("total")).alias("alpha"))
-    return _tables(alpha.toPandas(), context.select("lang", "size", "context", "gamma").toPandas(), order)
+    alpha = grams.join(context, ["lang", "size", "context"]).select("lang", "size", "gram", ((F.col("n") - taken) / F.col("total")).alias("alpha"), "gamma")
+    return alpha, context.select("lang", "size", "context", "gamma")
+
+
+def kneser_ney(sample: DataFrame, order: int) -> PpmModel:
+    """The model of a small ``sample`` as code lengths in the driver; ``sharded`` is for samples that grow."""
+    alpha, context = gram_tables(sample, order)
+    return _tables(alpha.toPandas(), context.toPandas(), order)
+
+
+def sharded(sample: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The model on disk, by length of context: the probability ``p`` of each seen (lang, gram), and ``gamma`` of each (lang, context)."""
+    alpha, context = gram_tables(sample, order)
+    context = saved(context, "contexts")
+    alpha, known = saved(alpha, "alpha"), []
+    for k in range(order + 1):
+        own = alpha.filter(F.col("size") == k)
+        if k:
+            below = known[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            own = own.withColumn("suffix", low_bytes("gram", k)).join(below, ["lang", "suffix"])
+        else:
+            own = own.withColumn("lower", F.lit(1 / 256))
+        known.append(saved(own.select("lang", "gram", (F.col("alpha") + F.col("gamma") * F.col("lower")).alias("p")), f"known-{k}"))
+    return known, [context.filter(F.col("size") == k).select("lang", "context", "gamma") for k in range(order + 1)]
+
+
+def low_bytes(gram: str, k: int):
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+
+
+def probabilities(wanted: DataFrame, known: list[DataFrame], gammas: list[DataFrame]) -> DataFrame:
+    """(lang, full, p) for each (lang, gram) of ``wanted``: joins by gram with the sharded tables; what one lacks goes on to shorter contexts."""
+    left = wanted.select("lang", F.col("gram").alias("full"), "gram", F.lit(1.0).alias("weight"))
+    out = None
+    for k in range(len(known) - 1, -1, -1):
+        met = left.withColumn("context", F.shiftright("gram", 8)).join(known[k], ["lang", "gram"], "left").join(gammas[k], ["lang", "context"], "left")
+        met = saved(met, f"met-{k}")
+        seen = met.filter("p IS NOT NULL").select("lang", "full", (F.col("weight") * F.col("p")).alias("p"))
+        out = seen if out is None else out.unionByName(seen)
+        rest = F.col("weight") * F.coalesce("gamma", F.lit(1.0))
+        left = met.filter("p IS NULL").select("lang", "full", low_bytes("gram", k).alias("gram"), rest.alias("weight"))
+    return out.unionByName(left.select("lang", "full", (F.col("weight") / 256).alias("p")))
+
+
+def text_grams(texts: DataFrame, order: int) -> DataFrame:
+    """(key, lang, gram, n): how often each run of order + 1 bytes is in a text, for each language of the text's ``langs``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put() -> pa.RecordBatch:
+            sizes = [len(g) for _, _, g, _ in held]
+            keys = pa.array(np.repeat(np.array([x[0] for x in held], np.int64), sizes))
+            langs = pa.array([x[1] for x in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            columns = [keys, langs, pa.array(np.concatenate([x[2] for x in held])), pa.array(np.concatenate([x[3] for x in held]))]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "lang", "gram", "n"])
+
+        held: list[tuple] = []
+        waiting = 0
+        for batch in batches:
+            for key, langs, text in zip(*batch.columns, strict=True):
+                a = np.frombuffer(b"\n" * order + text.as_py().encode(), np.uint8).astype(np.int64)
+                g = a[order:].copy()
+                for j in range(1, order + 1):
+                    g |= a[order - j : len(a) - j] << (8 * j)
+                found, n = np.unique(g, return_counts=True)
+                for lang in langs.as_py():
+                    held.append((key.as_py(), lang, found, n.astype(np.int64)))
+                    waiting += len(found)
+                if waiting > 250_000:
+                    yield put()
+                    held, waiting = [], 0
+        if held:
+            yield put()
+
+    return texts.select("key", "langs", "text").mapInArrow(count, "key long, lang string, gram long, n long")
 
 
 def _tables(alpha: pd.DataFrame, gamma: pd.DataFrame, order: int) -> PpmModel:
@@ -101,45 +172,41 @@ def trusted_half(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 2 == 0
 
 
-def perplexities(docs: DataFrame, model: PpmModel) -> DataFrame:
+def perplexities(docs: DataFrame, known: list[DataFrame], gammas: list[DataFrame]) -> DataFrame:
     """(doc_id, lang, perplexity): two to the bits a byte of the whole text under its language's model; null without a letter or a model.
 
-    A text of no language, or of one that has no model, takes the model that fits it best. The model is bounded by its sample, so tasks hold it.
+    A text of no language, or of one that has no model, takes the model that fits it best. The counts of distinct (text, gram) meet the
+    probabilities in a join by gram; the driver sees the names of the languages.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        number = {name: k for k, name in enumerate(known.languages)}
-        for batch in batches:
-            letters = np.asarray(batch.column(3).to_pylist(), bool)
-            texts = [t.as_py().encode() if ok else b"" for t, ok in zip(batch.column(2), letters, strict=True)]
-            out: list[float | None] = [None] * len(texts)
-            if known.languages and texts:
-                bits = known.code_lengths(texts)
-                for k, (text, lang) in enumerate(zip(texts, batch.column(1).to_pylist(), strict=True)):
-                    if text:
-                        own = bits[k, number[lang]] if lang in number else bits[k].min()
-                        out[k] = float(np.exp2(min(own / len(text), 1000)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "lang", "perplexity"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), has_letter())
-    return rows.mapInArrow(score, "doc_id long, lang string, perplexity double")
+    order = len(known) - 1
+    names = sorted(r.lang for r in known[0].select("lang").distinct().collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("key", F.when(has_letter(), hashed("lang", "text", seed=11)))
+    if not names:
+        return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
+    every = F.array(*[F.lit(x) for x in names])
+    langs = F.when(F.array_contains(every, F.col("lang")), F.array("lang")).otherwise(every)
+    grams = saved(text_grams(rows.filter("key IS NOT NULL").withColumn("langs", langs), order), "text-grams")
+    wanted = grams.select("lang", "gram").distinct()
+    cost = probabilities(wanted, known, gammas).select("lang", F.col("full").alias("gram"), (-F.log2("p")).alias("bits"))
+    sums = grams.join(saved(cost, "gram-bits"), ["lang", "gram"]).groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    best = sums.groupBy("key").agg(F.min("bits").alias("bits"))
+    # Texts that repeat share a key, and their counts came in as often.
+    sizes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    each = best.join(sizes, "key").select("key", F.pow(F.lit(2.0), F.least(F.col("bits") / F.col("bytes"), F.lit(1000.0))).alias("perplexity"))
+    return rows.select("doc_id", "lang", "key").join(each, "key", "left").select("doc_id", "lang", "perplexity")
 
 
 def quality(
     docs: DataFrame,
     labels: DataFrame,
     order: int = 4,
-    rows_per_language: int = 400,
-    row_bytes: int = 65_536,
     quantile: float = 0.99,
     margin: float = 1.5,
 ) -> DataFrame:
     """Per row: doc_id, perplexity, threshold (of its language) and kept.
 
-    Trusted are documents labelled quality 1. By a hash of the id half of them are learned from, of each language the
-    ``rows_per_language`` with the smallest hash among those of 1 to ``row_bytes`` bytes. The threshold of a language is ``margin`` times the
+    Trusted are documents labelled quality 1. By a hash of the id half of them are learned from, all with a letter and whole. The threshold of a language is ``margin`` times the
     ``quantile`` of the perplexities of all documents of the other half; a language without such documents takes that of all of them.
     A document above its threshold goes, as does a text without a letter (null, empty): its perplexity is null. If nothing is trusted
     every text with a letter stays. Labels that repeat count once; one that says both 0 and 1 is not trusted. A null doc_id has no label.
@@ -148,12 +215,9 @@ def quality(
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    able = (F.octet_length("text") <= row_bytes) & has_letter() & trusted_half()
-    first = Window.partitionBy("lang").orderBy(hashed("doc_id", seed=7), "doc_id")
-    chosen = rows.filter(able).select("doc_id", "lang").join(trusted, "doc_id").withColumn("nth", F.row_number().over(first))
-    chosen = saved(chosen.filter(F.col("nth") <= rows_per_language).select("doc_id", "lang").distinct(), "trusted")
-    model = kneser_ney(rows.filter(able).join(chosen, ["doc_id", "lang"], "left_semi"), order)
-    scored = saved(perplexities(rows, model), "scored")
+    learned = rows.filter(has_letter() & trusted_half()).join(trusted, "doc_id", "left_semi").select("lang", "text")
+    known, gammas = sharded(learned, order)
+    scored = saved(perplexities(rows, known, gammas), "scored")
 
     others = scored.join(trusted, "doc_id", "left_semi").filter(~trusted_half() & F.col("perplexity").isNotNull())
     at = lambda: F.percentile_approx("perplexity", quantile, 100_000) * margin
@@ -161,5 +225,5 @@ def quality(
     anywhere = saved(others.agg(at().alias("any")), "threshold").first()["any"]
     out = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(anywhere).cast("double")))
     fits = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    texts = F.col("perplexity").isNotNull() if model.languages else F.lit(True)
+    texts = F.col("perplexity").isNotNull() if not known[0].isEmpty() else F.lit(True)
     return out.select("doc_id", "perplexity", "threshold", (fits & texts).alias("kept"))
