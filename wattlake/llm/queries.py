@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattlake.llm import embeddings, exact, langid, licences, lines, minhash, mixing, packing, quality, suffix
+from wattlake.llm import alignment, embeddings, exact, langid, lexical, licences, lines, minhash, mixing, neighbours, packing, quality, suffix
 from wattlake.llm.common import documents, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_license_scan": op10_license_scan,
     "op3_line_dedup": op3_line_dedup,
@@ -67,6 +82,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
+    "op11_ranked_search": lexical.SQL,
     "op10_license_scan": licences.SQL,
     "op5_embedding_dedup": embeddings.SQL,
     "op9_minhash_dedup": minhash.SQL,
