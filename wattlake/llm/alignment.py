@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from wattlake.llm.common import saved
 from wattlake.llm.tokens import _byte_letters
 
+LOT = 1024  # texts whose words are in memory at once
 SHIFT = 32  # a pair's code is (a << SHIFT) | b
 FAN = 16  # fragments that one task composes into one
 # White space above U+007F, as UTF-8.
@@ -26,6 +28,8 @@ _NARROW = rb"[\x09-\x0d\x1c-\x20]"
 CUT = re.compile(
     b"".join(rb"(?<!" + w + rb")" for w in [_NARROW, *_WIDE]) + rb"(?<=.) (?=.)" + b"".join(rb"(?!" + w + rb")" for w in [_NARROW, *_WIDE]), re.DOTALL
 )
+# What makes some blank no cut; a text without it is cut at every blank.
+IRREGULAR = re.compile(b"|".join([rb" " + _NARROW, _NARROW + rb" ", rb" $", *_WIDE]))
 
 
 class Fragment(NamedTuple):
@@ -88,12 +92,13 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of blank+text on both sides; None where the bytes of either differ from it or the text is empty."""
         if not text:
             return None
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         b = self.b.encode(text)
         data = b" " + text.encode()
         same = b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
@@ -135,8 +140,7 @@ class Words:
 
     def learn(self, words: list[bytes]) -> None:
         """Align words that are not known yet, many in one call; where bytes differ, the lot is halved until the words that differ stand alone."""
-        if len(self.known) > self.limit:
-            self.known.clear()
+        digits = self.tokenizers.digits
         lots = [words[i : i + 4096] for i in range(0, len(words), 4096)]
         while lots:
             lot = lots.pop()
@@ -151,20 +155,40 @@ class Words:
             ends_a, ends_b = self.tokenizers.size_a[a].cumsum(), self.tokenizers.size_b[b].cumsum()
             common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
             links = ((a[at_a] << SHIFT) | b[at_b]).tolist()
-            a, b, at_a, at_b = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()], (at_a + 1).tolist(), (at_b + 1).tolist()
+            a, b, at_a, at_b = [digits[x] for x in a.tolist()], [digits[x] for x in b.tolist()], (at_a + 1).tolist(), (at_b + 1).tolist()
             groups, p, q = [], 0, 0
             for i, j in zip(at_a, at_b, strict=True):
-                groups.append(f"{','.join(a[p:i])}|{','.join(b[q:j])}")
+                groups.append(f"{a[p]}|{b[q]}" if i - p == j - q == 1 else f"{','.join(a[p:i])}|{','.join(b[q:j])}")
                 p, q = i, j
             stops = np.searchsorted(common, np.cumsum([len(w) + 1 for w in lot]), "right").tolist()
             begin = p = q = 0
             for word, stop in zip(lot, stops, strict=True):
                 i, j = at_a[stop - 1], at_b[stop - 1]
-                self.known[word] = (i - p, j - q, stop - begin, ";".join(groups[begin:stop]), links[begin:stop])
+                self.known[word] = (i - p, j - q, stop - begin, ";".join(groups[begin:stop]), tuple(links[begin:stop]))
                 begin, p, q = stop, i, j
 
+    def texts(self, lot: list[bytes | None]) -> list[tuple[int, int, int, str, Counter]]:
+        """Per whole text: token and group counts, digest of the groups and the linked pairs with their numbers."""
+        split = [self.split(b" " + t) if t else [] for t in lot]
+        distinct = set().union(*split)
+        if len(self.known) > self.limit:
+            self.known = {w: self.known[w] for w in distinct & self.known.keys()}
+        self.learn(list(distinct - self.known.keys()))
+        out = []
+        for words in split:
+            found = list(map(self.known.__getitem__, words))
+            if not found or None in found:
+                out.append((0, 0, 0, "", Counter()))
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
+            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+            out.append((sum(n_a), sum(n_b), sum(n_groups), digest, Counter(chain.from_iterable(links))))
+        return out
+
     def split(self, data: bytes) -> list[bytes]:
         """The words of blank+text."""
+        if not IRREGULAR.search(data):
+            return data[1:].split(b" ")
         words, at = [], 1
         for cut in CUT.finditer(data, 1):
             words.append(data[at : cut.start()])
@@ -173,7 +197,6 @@ class Words:
         return words
 
 
-REGULAR = re.compile(rb"[\x21-\x7e]+( [\x21-\x7e]+)*")
 _OPEN: dict[tuple[str, str], Words] = {}
 
 
@@ -215,20 +238,9 @@ def _short(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = words_of(*files)
         for batch in batches:
-            texts = [words.split(b" " + t) if t else [] for t in batch["text"]]
-            words.learn(list({w for t in texts for w in t}.difference(words.known)))
-            rows = []
-            for text in texts:
-                found = list(map(words.known.__getitem__, text))
-                if not found or None in found:
-                    rows.append((0, 0, 0, "", [], []))
-                    continue
-                n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-                counts: Counter = Counter()
-                for part in links:
-                    counts.update(part)
-                digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-                rows.append((sum(n_a), sum(n_b), sum(n_groups), digest, list(counts), list(counts.values())))
+            texts = batch["text"].tolist()
+            found = [x for i in range(0, len(texts), LOT) for x in words.texts(texts[i : i + LOT])]
+            rows = [(*x, list(counts), list(counts.values())) for *x, counts in found]
             out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
