@@ -135,7 +135,7 @@ class Words:
     """
 
     tokenizers: Tokenizers
-    limit: int = 400_000
+    limit: int = 300_000
     known: dict[bytes, tuple | None] = field(default_factory=dict)
 
     def learn(self, words: list[bytes]) -> None:
@@ -238,12 +238,12 @@ def _short(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = words_of(*files)
         for batch in batches:
-            texts = batch["text"].tolist()
-            found = [x for i in range(0, len(texts), LOT) for x in words.texts(texts[i : i + LOT])]
-            rows = [(*x, list(counts), list(counts.values())) for *x, counts in found]
-            out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            for at in range(0, len(batch), LOT):
+                lot = batch.iloc[at : at + LOT]
+                rows = [(*x, list(counts), list(counts.values())) for *x, counts in words.texts(lot["text"].tolist())]
+                out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often"])
+                out.insert(0, "doc_id", lot["doc_id"].to_numpy())
+                yield out
 
     return docs.select("doc_id", "text").mapInPandas(align, f"doc_id long, {_COUNTS}, groups_sha256 string, {_PAIRS}")
 
