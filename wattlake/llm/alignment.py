@@ -141,7 +141,11 @@ class Words:
     def learn(self, words: list[bytes]) -> None:
         """Align words that are not known yet, many in one call; where bytes differ, the lot is halved until the words that differ stand alone."""
         digits = self.tokenizers.digits
-        lots = [words[i : i + 4096] for i in range(0, len(words), 4096)]
+        # A word with white space at an end (the first or last of a text) would run together with the blank beside it.
+        bare = [w for w in words if w and (t := w.decode()).strip() == t]
+        lots = [bare[i : i + 4096] for i in range(0, len(bare), 4096)]
+        if len(bare) < len(words):
+            lots += [[w] for w in set(words).difference(bare)]
         while lots:
             lot = lots.pop()
             ids = self.tokenizers.encode(b" ".join(lot).decode())
