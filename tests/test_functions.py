@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
+import html
+import html.entities
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from wattlake.functions import questions as qs
 from wattlake.functions import rules as ru
 from wattlake.functions import taxonomy as tax
+from wattlake.functions import characters as ch
 from wattlake.functions import text as tx
 from wattlake.functions import themes as th
 
@@ -23,13 +28,32 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("  Leitura <br> ESTIMADA<br/> em São Paulo  ", "leitura estimada em sao paulo"), (None, ""), ("A &amp; B&nbsp;ç", "a & b c")],
+    [("  Leitura <br> ESTIMADA<br/> em São Paulo  ", "leitura estimada em sao paulo"), (None, ""), ("A &amp; B&nbsp;ç", "a & b c"),
+     ("Sa\u0303o &#x41;&#66 STRASSE Straße ﬁ ½ İ", "sao ab strasse strasse fi 1\u20442 i"), ("&copy;2024 &amp;lt;b&gt; &notit; &nix; &#0;", "©2024 &lt;b> ¬it; &nix; \ufffd"),
+     ("a\u2003b\u0085c\x1cd", "a b c d")],
 )
 def test_clean_text(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "t string")
     assert df.select(tx.clean_text(F.col("t"))).first()[0] == want
 
 
+def test_every_character_and_reference(spark):
+    """All assigned characters and all named references against the standard library."""
+    def plain(t):
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
+
+    given = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    blocks = ["".join(given[i : i + 40]) for i in range(0, len(given), 40)]
+    df = spark.createDataFrame(list(enumerate(blocks)), "i int, t string")
+    assert [r.i for r in df.select("i", ch.fold_characters(F.col("t")).alias("o")).collect() if r.o != plain(blocks[r.i])] == []
+    odd = [0xD800, 0xDFFF, 0xFFFE, 0x1FFFF, 0xFDD0, 0x10FFFF, 0x110000, 10**20]
+    refs = [f"&{n}" for n in html.entities.html5] + [f"&{n}x" for n in html.entities.html5 if not n.endswith(";")]
+    refs += [f"&#{n};" for n in [*range(300), *odd]] + [f"&#x{n:x}" for n in [*range(300), *odd]]
+    refs += ["&", "&&", "&;", "&#;", "&#x;", "&#xg", "&amp;lt;", "&ampamp;", "&AMP", "a&b&c;", "&#0000000000000065;", "&" + "a" * 40, "& amp;", "&copy2024;&copy"]
+    df = spark.createDataFrame(list(enumerate(refs)), "i int, t string")
+    assert [refs[r.i] for r in df.select("i", ch.unescape(F.col("t")).alias("o")).collect() if r.o != html.unescape(refs[r.i])] == []
+
+
 def test_entities(spark):
     text = "protocolo 123456 cep 12345-678 uc 987654 telefone 1199999-8888 em 01/02/2026"
     row = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in tx.extract_entities(F.col("t")).items()]).first()

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattlake.functions.tables import any_of, let
-from wattlake.functions.text import ACCENTED, PLAIN, mask_pii, squeeze
+from wattlake.functions.characters import fold_characters
+from wattlake.functions.text import mask_pii, squeeze
 
 # Words left out of a token set.
 STOPWORDS = (
@@ -122,7 +123,7 @@ def candidate_digests(x: Column) -> Column:
 
 def normal_question(x: Column) -> Column:
     """TXT12: accent-free lower case without punctuation."""
-    folded = F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    folded = fold_characters(x)
     return squeeze(F.regexp_replace(folded, r"(?U)[^\w\s]", " "))
 
 

@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wattlake.functions.tables import let
-
-# Precomposed lower-case letters and their base letters.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
-# Named HTML entities decoded before tags are removed.
-HTML_ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&aacute;": "á", "&agrave;": "à", "&acirc;": "â", "&atilde;": "ã", "&auml;": "ä",
-    "&eacute;": "é", "&egrave;": "è", "&ecirc;": "ê", "&euml;": "ë",
-    "&iacute;": "í", "&icirc;": "î", "&iuml;": "ï",
-    "&oacute;": "ó", "&ocirc;": "ô", "&otilde;": "õ", "&ouml;": "ö",
-    "&uacute;": "ú", "&ugrave;": "ù", "&ucirc;": "û", "&uuml;": "ü",
-    "&ccedil;": "ç", "&ntilde;": "ñ", "&szlig;": "ß", "&amp;": "&",
-}
+from wattlake.functions.characters import fold_characters, unescape
 
 # Entity patterns.
 PHONE = r"(?:\+?55\s*)?(?:\(?\d{2}\)?\s*)?9?\d{4}[-\s]?\d{4}"
@@ -29,6 +14,9 @@ PROTOCOL = r"\b(?:protocolo|prot)\s*[:#-]?\s*(\d{6,})\b"
 DAY_TEXT = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 INSTALLATION = r"\b(?:uc|instalacao|instalação|inst)\s*[:#-]?\s*(\d{5,})\b"
 
+# White space of Unicode and the four separators that count as such.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+
 # Mask patterns.
 CPF = r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"
 CNPJ = r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b"
@@ -42,16 +30,8 @@ def squeeze(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents, white space squeezed (accent- and case-free comparison form).
-
-    ``translate`` works character by character, so pure ASCII text skips it.
-    """
-
-    def plain(t: Column) -> Column:
-        mapped = F.translate(F.replace(t, F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
-        return F.when(F.octet_length(t) == F.char_length(t), t).otherwise(mapped)
-
-    return squeeze(let(F.lower(x), plain))
+    """FN05: case-, accent- and compatibility-free comparison form, white space of any script squeezed."""
+    return F.trim(F.regexp_replace(fold_characters(x), WHITE, " "))
 
 
 def upper_trim(x: Column) -> Column:
@@ -76,22 +56,9 @@ def key_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"\.0$", ""))
 
 
-def unescape(x: Column) -> Column:
-    """Named entities to characters; text without an ampersand is passed through."""
-
-    def decoded(t: Column) -> Column:
-        out = t
-        for entity, char in HTML_ENTITIES.items():
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        return F.when(t.contains("&"), out).otherwise(t)
-
-    return let(x, decoded)
-
-
 def clean_text(x: Column) -> Column:
-    """FN04: entities decoded, tags to blanks, accents removed, case folded, white space squeezed; NULL to blank."""
-    stripped = F.regexp_replace(unescape(F.coalesce(x, F.lit(""))), r"<[^>]+>", " ")
-    return fold(stripped)
+    """FN04: references decoded, tags to blanks, compatibility forms without accents, case folded, white space squeezed; NULL to blank."""
+    return fold(F.regexp_replace(unescape(F.coalesce(x, F.lit(""))), r"<[^>]+>", " "))
 
 
 def _distinct_matches(x: Column, pattern: str, group: int) -> Column:
