@@ -13,6 +13,7 @@ from wattlake.functions import questions as qs
 from wattlake.functions import taxonomy as tax
 from wattlake.functions import text as tx
 from wattlake.functions import themes as th
+from wattlake.operators import postings
 from wattlake.plans import evaluation as ev
 from wattlake.plans import retrieval as rt
 from wattlake.plans import telemetry as tm
@@ -155,8 +156,10 @@ q(
 )
 
 
-def _bm25_scores(spark, sf):
-    return rt.bm25(b.table(spark, sf, "benchmark"), docs(spark, sf), "item_id", "doc_id", "text", "text")
+def _index(spark, sf):
+    """The corpus index, tokenised and written once per dataset version."""
+    version = runtime.dataset_version(spark, [f"{sf}/documents.parquet"])
+    return runtime.materialise(spark, lambda: rt.index(docs(spark, sf), "doc_id", "text"), "postings", version)
 
 
 _BM = """
@@ -165,9 +168,7 @@ bm AS MATERIALIZED (SELECT item_id, doc_id, sum(bt.tf * ln((n - df + 0.5) / (df
   FROM dt JOIN bt USING (t) JOIN fr USING (t), st GROUP BY 1, 2)"""
 q(
     "bm25_topk",
-    lambda s, d: rt.top_per_group(
-        _bm25_scores(s, d).withColumn("bm25", F.round("bm25", 6)), ["item_id"], [F.desc("bm25"), F.asc("doc_id")], 10
-    ),
+    lambda s, d: rt.bm25_topk(_index(s, d), b.table(s, d, "benchmark"), "item_id", "doc_id", "text", 10),
     _terms("dt", "documents", "doc_id", "text"), _terms("bt", "benchmark", "item_id", "text"), _BM,
     "SELECT item_id, doc_id, bm25, CAST(rn AS INTEGER) AS rank FROM (SELECT item_id, doc_id, round(s, 6) AS bm25, row_number() OVER "
     "(PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS rn FROM bm) WHERE rn <= 10",
@@ -204,7 +205,7 @@ def _candidates(spark, sf):
 def _build_candidates(spark, sf, k: int = 10):
     """Cosine candidates of every benchmark passage over the hashed document vectors, with both texts."""
     corpus, bench = docs(spark, sf), b.table(spark, sf, "benchmark")
-    dv = rt.dense(rt.hash_embedding(corpus, "doc_id", "text"), "doc_id")
+    dv = rt.dense(rt.hashed_terms(postings.postings(_index(spark, sf), "doc_id"), "doc_id"), "doc_id")
     qv = rt.dense(rt.hash_embedding(bench, "item_id", "text"), "item_id")
     near = rt.cosine_topk(qv, dv, "item_id", "doc_id", "vetor", "vetor", k)
     return near.join(corpus.select("doc_id", F.col("text").alias("passagem"), "lang"), "doc_id").join(
@@ -242,6 +243,15 @@ q(
     *_HYB,
     "SELECT item_id, doc_id, round(c, 6) AS cosseno, round(x, 6) AS lexico, round(s, 6) AS score FROM hs",
 )
+q(
+    "hybrid_jaccard_topk",
+    lambda s, d: rt.hybrid(rt.lexical_by_jaccard(_candidates(s, d), "pergunta", "passagem")).select(
+        "item_id", "doc_id", F.round("lexico", 6).alias("lexico"), F.round("score", 6).alias("score")
+    ),
+    *_HYB,
+    ", jc AS (SELECT item_id, doc_id, c, len(list_intersect(list_distinct(a.ws), list_distinct(z.ws))) / len(list_distinct(list_concat(a.ws, z.ws))) AS x "
+    "FROM nn JOIN bt0 a USING (item_id) JOIN dt0 z USING (doc_id)) SELECT item_id, doc_id, round(x, 6) AS lexico, round(greatest(c, 0) * 0.6 + x * 0.4, 6) AS score FROM jc",
+)
 q(
     "rescored_passages",
     lambda s, d: rt.rescore(_hybrid(s, d).withColumn("segundo", F.char_length("passagem").cast("double")), "item_id", "segundo").select(

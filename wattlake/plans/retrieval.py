@@ -12,13 +12,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from wattlake.functions.questions import normal_question
 from wattlake.functions.text import slug, tokens
+from wattlake.operators import postings
 from wattlake.operators.grouping import top_per_group
 from wattlake.operators.pairing import with_queries
 
 HEADER = r"(?m)^(?=#{1,4}\s+\S)"
 HEADER_TEXT = r"^#{1,4}\s+(.+?)\s*(?:\n|$)"
 CHARS_PER_TOKEN = 4
-K1, B = 1.5, 0.75
 
 # Document type per folder name.
 DOC_TYPES = {
@@ -70,18 +70,28 @@ def chunk(docs: DataFrame, key: str, text: str, size_tokens: int = 400, overlap_
 
 
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index rows (key, term, tf, length). Counting happens map-side right after the explode."""
+    """Rows (key, term, tf, length). Counting happens map-side right after the explode."""
     words = docs.select(key, tokens(F.col(text)).alias("_w")).withColumn("tamanho", F.size("_w"))
     return words.select(key, "tamanho", F.explode("_w").alias("termo")).groupBy(key, "tamanho", "termo").agg(
         F.count(F.lit(1)).alias("tf")
     )
 
 
+def index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """TXT06: stored postings of the corpus; write it once and search it any number of times."""
+    return postings.build(docs, key, text, tokens)
+
+
 def hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
     """TXT04/UDF07: signed hashed term counts, unit length, as sparse rows (key, bucket, peso)."""
+    return hashed_terms(terms(docs, key, text), key, dim)
+
+
+def hashed_terms(counts: DataFrame, key: str, dim: int = 256) -> DataFrame:
+    """The same from rows (key, termo, tf), which a stored index has already."""
     hashed = F.conv(F.substring(F.md5("termo"), 1, 8), 16, 10).cast("long")
     sign = F.when(F.pmod(F.conv(F.substring(F.md5("termo"), 9, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cells = terms(docs, key, text).select(key, F.pmod(hashed, F.lit(dim)).alias("bucket"), (sign * F.col("tf")).alias("w"))
+    cells = counts.select(key, F.pmod(hashed, F.lit(dim)).alias("bucket"), (sign * F.col("tf")).alias("w"))
     sums = cells.groupBy(key, "bucket").agg(F.sum("w").alias("w"))
     norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
     return sums.join(norms, key).filter("w <> 0 AND _n > 0").select(key, "bucket", (F.col("w") / F.col("_n")).alias("peso"))
@@ -151,27 +161,14 @@ def cosine_topk(
     return top_per_group(found, [qkey], [F.desc("cosseno"), F.asc(ckey)], k)
 
 
-def _bm25(tf: Column, length: Column, average: Column, n: Column, df: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1.0)
-    return idf * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length / F.greatest(average, F.lit(1.0))))
-
+def bm25_topk(index: DataFrame, queries: DataFrame, qkey: str, dkey: str, qtext: str, k: int) -> DataFrame:
+    """TXT06: the k documents of highest BM25 for each query, from a stored index; repeated query terms count again."""
+    wanted = terms(queries, qkey, qtext).select(qkey, "termo", F.col("tf").alias("qtf"))
+    return postings.search(index, wanted, qkey, dkey, k)
 
-def bm25(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, qtext: str, dtext: str) -> DataFrame:
-    """TXT06: BM25 of every (query, document) pair that shares a term; repeated query terms count again.
 
-    The corpus side keeps only terms some query asks for. The terms of a document are produced in one task, so their
-    contributions to a (query, document) pair are summed there before anything is shuffled when the query table is
-    small enough to be broadcast; otherwise the join shuffles by term and AQE splits a hot one.
-    """
-    index = terms(docs, dkey, dtext)
-    size = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(dtext)))).alias("avg")).alias("s")).select("s").scalar()
-    wanted = terms(queries, qkey, qtext).select(qkey, "termo", F.col("tf").alias("qtf"))
-    vocabulary = wanted.select("termo").distinct()
-    kept = index.join(vocabulary, "termo", "left_semi")
-    frequency = kept.groupBy("termo").agg(F.count(F.lit(1)).alias("df"))
-    weighted = wanted.join(frequency, "termo").withColumn("_s", size)
-    score = _bm25(F.col("tf"), F.col("tamanho"), F.col("_s.avg"), F.col("_s.n"), F.col("df")) * F.col("qtf")
-    return kept.join(weighted, "termo").groupBy(qkey, dkey).agg(F.sum(score).alias("bm25"))
+def _bm25(tf: Column, length: Column, average: Column, n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1.0) * postings.weight(tf, length, F.greatest(average, F.lit(1.0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -200,6 +197,11 @@ def lexical_in_candidates(candidates: DataFrame, qkey: str, dkey: str, qtext: st
     ).drop("_l", "_p")
 
 
+def lexical_by_jaccard(candidates: DataFrame, qtext: str, dtext: str) -> DataFrame:
+    """TXT07: the fallback signal, shared over all distinct words, where no index or word statistics are at hand; it needs no scaling."""
+    return candidates.withColumn("lexico", jaccard(F.col(qtext), F.col(dtext)))
+
+
 def anchor_bonus(question: Column, anchor: Column, region: Column) -> Column:
     """TXT08: intent, region and structure bonuses of an anchor."""
     q, a = F.lower(question), F.lower(F.coalesce(anchor, F.lit("")))
