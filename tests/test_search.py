@@ -62,3 +62,46 @@ def test_blocks_are_skipped(spark):
             assert shard.skipped > 0
             return
     raise AssertionError("no shard with both terms")
+
+
+def test_pages_walk_every_row_once(spark, tmp_path):
+    from wattlake.operators import pages
+
+    rng = random.Random(4)
+    rows = [(f"k{i:03d}", rng.choice([0.1, 0.5, 0.5, 0.9]), i % 3) for i in range(97)] + [("none", None, 1), (None, 0.5, 1)]
+    pages.sorted_layout(spark.createDataFrame(rows, "k string, s double, g int").repartition(5), "s", "k", "g").write.parquet(str(tmp_path / "l"))
+    held = spark.read.parquet(str(tmp_path / "l"))
+    where = pages.conditions(equal={"g": 1, "k": None}, at_least={"s": 0.2})
+    got = [[(r.s, r.k, r.pagina) for r in p.collect()] for p in pages.pages(held, "s", "k", 7, where)]
+    want = sorted([(-s, k) for k, s, g in rows if g == 1 and k and s and s >= 0.2])
+    assert [(-s, k) for p in got for s, k, _ in sorted(p, key=lambda x: (-x[0], x[1]))] == want
+    assert all(n == i for i, p in enumerate(got, 1) for _, _, n in p) and all(len(p) == 7 for p in got[:-1])
+    assert list(pages.pages(held, "s", "k", 7, pages.conditions(at_least={"s": 2.0}))) == []
+
+
+def test_neighbours_across_slices(spark):
+    from wattlake.operators.runs import neighbours
+
+    rows = [("hot", i, f"v{i}") for i in range(60)] + [("b", 3, "x"), ("b", 40, "y"), (None, 1, "n"), (None, 2, "m")]
+    for width in (1, 7, 1000):
+        df = spark.createDataFrame(rows, "k string, t int, v string")
+        got = neighbours(df, ["k"], "t", F.floor(F.col("t") / width), before={"prev": "v"}, after={"next": "v", "at": "t"})
+        for key in ("hot", "b", None):
+            mine = sorted((r.t, r.v, r.prev, r.next, r["at"]) for r in got.collect() if r.k == key)
+            values = [v for _, v, *_ in mine]
+            assert [p for _, _, p, _, _ in mine] == [None, *values[:-1]] and [n for *_, n, _ in mine] == [*values[1:], None]
+            assert [a for *_, a in mine] == [*[t for t, *_ in mine[1:]], None]
+
+
+def test_unusual_rows_are_flagged(spark):
+    from wattlake.plans.features import decile_position, flag_unusual
+
+    df = spark.createDataFrame([(i, 10.0 + i % 3, 0.1 * (i % 2)) for i in range(50)] + [(99, 80.0, 2.0)], "i int, n double, z double")
+    got = {r.i: r for r in flag_unusual(df, ["n", "z"], "z", 3.0, 0.05).collect()}
+    assert got[99].is_anomaly and got[99].anomaly_score > 0 and sum(r.is_anomaly for r in got.values()) <= 3
+    few = flag_unusual(df.limit(3), ["n", "z"], "z", 3.0, 0.05).collect()
+    assert not any(r.is_anomaly for r in few)
+    scores = spark.createDataFrame([(f"e{i:02d}", [0.9, 0.5, 0.5, 0.1][i % 4]) for i in range(40)], "entity_id string, score double")
+    best = sorted(r.entity_id for r in decile_position(scores, 0.4).collect())
+    want = sorted(((-s, e) for e, s in ((f"e{i:02d}", [0.9, 0.5, 0.5, 0.1][i % 4]) for i in range(40))))[:16]
+    assert best == sorted(e for _, e in want)

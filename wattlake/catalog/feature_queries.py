@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlake import bindings as b
 from wattlake import operations as op
+from wattlake import runtime
 from wattlake.catalog.base import add
 from wattlake.catalog.operation_queries import _NOTES, _PAYMENTS, _TARGETS, q
 from wattlake.catalog.sqlparts import COMPLAINTS, canonical_label, classifier_ctes
 from wattlake.functions import taxonomy as tax
 from wattlake.functions.text import fold
+from wattlake.operators import pages
 from wattlake.plans import features as ft
 from wattlake.plans import models as ml
 from wattlake.plans import quality
@@ -115,6 +121,10 @@ round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS total_notas_zscore, ro
 AS taxa_devolucao_zscore, round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 6) AS taxa_cancelamento_zscore,
 round((e - avg(e) OVER ()) / stddev_pop(e) OVER (), 6) AS taxa_inadimplencia_zscore FROM j""",
 )
+# The distance of each row of z from the mean of all, less the quantile that leaves a tenth above it.
+UNUSUAL = """ f AS (SELECT *, round(sqrt(pow((qtd_erros - avg(qtd_erros) OVER ()) / stddev_pop(qtd_erros) OVER (), 2) + pow((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 2)
+  + pow((zs - avg(zs) OVER ()) / stddev_pop(zs) OVER (), 2)), 9) AS far FROM z),
+u AS (SELECT *, round(far - (SELECT quantile_cont(far, 0.9) FROM f), 9) AS score FROM f)"""
 q(
     "daily_hotspots",
     lambda s, d: ft.daily_hotspots(
@@ -123,9 +133,9 @@ q(
 count(*) AS qtd_erros FROM events GROUP BY 1, 2, 3),
 r AS (SELECT *, avg(qtd_erros) OVER w AS m, coalesce(stddev_samp(qtd_erros) OVER w, 0) AS sd FROM c
   WINDOW w AS (PARTITION BY regiao, classe_erro ORDER BY data ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, (qtd_erros - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zs FROM r)
+z AS (SELECT *, (qtd_erros - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zs FROM r),""" + UNUSUAL + """
 SELECT data, regiao, classe_erro, qtd_erros, round(m, 6) AS rolling_mean_7d, round(sd, 6) AS rolling_std_7d, round(zs, 6) AS zscore,
-round(abs(zs), 6) AS anomaly_score, abs(zs) >= 3 AS is_anomaly FROM z""",
+round(score, 6) AS anomaly_score, score > 0 OR abs(zs) >= 3 AS is_anomaly FROM u""",
 )
 
 
@@ -210,10 +220,77 @@ q(
     "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - "
     "min(c_acctbal) OVER ()), 6) AS score FROM customer",
 )
+
+
+def _score_list(spark, sf):
+    """Scores with their date and place, written in the order of the list."""
+    rows = b.table(spark, sf, "lineitem").join(b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("cod_base")), "l_suppkey")
+    scores = rows.groupBy(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("entity_id"), "cod_base", F.col("l_shipdate").cast("date").alias("data_scoring")).agg(
+        F.max((F.col("l_extendedprice") % 1000) / 1000).alias("score"))
+    version = runtime.dataset_version(spark, [f"{sf}/lineitem.parquet", f"{sf}/supplier.parquet"])
+    return runtime.materialise(spark, lambda: pages.sorted_layout(scores, "score", "entity_id", "cod_base", "data_scoring"), "score_list", version)
+
+
+def _walk(df, score, key, size, where, most):
+    found = list(pages.pages(df, score, key, size, where, most))
+    return functools.reduce(DataFrame.unionByName, found) if found else df.limit(0).withColumn("pagina", F.lit(0))
+
+
+_SL = """
+sl AS MATERIALIZED (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS entity_id, s_nationkey AS cod_base, CAST(l_shipdate AS DATE) AS data_scoring,
+  max((l_extendedprice % 1000) / 1000) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 q(
     "score_page",
-    lambda s, d: _scores(s, d).filter(F.col("score") >= 0.6).orderBy(F.desc("score"), "entity_id").offset(40).limit(20).drop("y"), _SC,
-    "SELECT entity_id, round(s, 6) AS score FROM sc WHERE s >= 0.6 ORDER BY s DESC, entity_id LIMIT 20 OFFSET 40",
+    lambda s, d: _walk(_score_list(s, d), "score", "entity_id", 20, pages.conditions(
+        equal={"cod_base": 3, "data_scoring": None}, at_least={"score": 0.6, "data_scoring": dt.date(1994, 1, 1)}, at_most={"data_scoring": dt.date(1996, 12, 31)}), 6), _SL,
+    "SELECT score, entity_id, cod_base, data_scoring, CAST((rn - 1) // 20 + 1 AS INTEGER) AS pagina FROM (SELECT *, row_number() OVER (ORDER BY score DESC, entity_id) AS rn FROM sl "
+    "WHERE cod_base = 3 AND score >= 0.6 AND data_scoring BETWEEN DATE '1994-01-01' AND DATE '1996-12-31') WHERE rn <= 120",
+)
+
+
+def _pattern_list(spark, sf):
+    """Event patterns by day: how many, and their share of the day."""
+    counts = b.table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("data"), F.concat_ws("/", "event_type", F.get_json_object("props", "$.k")).alias("padrao")).agg(
+        F.count(F.lit(1)).alias("quantidade"))
+    days = counts.groupBy("data").agg(F.sum("quantidade").alias("_n"))
+    ready = counts.join(days, "data").select(
+        F.concat_ws("|", F.col("data").cast("string"), "padrao").alias("chave"), "data", "quantidade", (F.col("quantidade") * 100.0 / F.col("_n")).alias("percentual"))
+    version = runtime.dataset_version(spark, [f"{sf}/events.parquet"])
+    return runtime.materialise(spark, lambda: pages.sorted_layout(ready, "quantidade", "chave", "data", "percentual"), "pattern_list", version)
+
+
+q(
+    "pattern_page",
+    lambda s, d: _walk(_pattern_list(s, d), "quantidade", "chave", 50, pages.conditions(
+        at_least={"data": dt.date(2024, 1, 5)}, at_most={"data": dt.date(2024, 1, 20)}), 8),
+    """WITH c AS (SELECT CAST(ts AS DATE) AS data, event_type || '/' || json_extract_string(props, '$.k') AS padrao, count(*) AS quantidade FROM events GROUP BY 1, 2),
+p AS (SELECT data || '|' || padrao AS chave, data, quantidade, quantidade * 100.0 / sum(quantidade) OVER (PARTITION BY data) AS percentual FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY quantidade DESC, chave) AS rn FROM p WHERE data BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+SELECT quantidade, chave, data, round(percentual, 6) AS percentual, CAST((rn - 1) // 50 + 1 AS INTEGER) AS pagina FROM r WHERE rn <= 400""",
+)
+
+
+def _hotspot_list(spark, sf):
+    found = ft.daily_hotspots(b.table(spark, sf, "events").withColumn("classe", F.get_json_object("props", "$.k")), "ts", "event_type", "classe")
+    ready = found.withColumn("chave", F.concat_ws("|", F.col("data").cast("string"), "regiao", "classe_erro")).withColumn("anomaly_score", F.round("anomaly_score", 6))
+    version = runtime.dataset_version(spark, [f"{sf}/events.parquet"])
+    return runtime.materialise(
+        spark, lambda: pages.sorted_layout(ready, "anomaly_score", "chave", "data", "regiao", "classe_erro", "qtd_erros", "is_anomaly"), "hotspot_list", version)
+
+
+q(
+    "hotspot_page",
+    lambda s, d: _walk(_hotspot_list(s, d), "anomaly_score", "chave", 25, pages.conditions(
+        equal={"regiao": "click"}, at_least={"data": dt.date(2024, 1, 3)}, at_most={"data": dt.date(2024, 1, 25)}), 5),
+    """WITH c AS (SELECT CAST(ts AS DATE) AS data, event_type AS regiao, json_extract_string(props, '$.k') AS classe_erro,
+count(*) AS qtd_erros FROM events GROUP BY 1, 2, 3),
+r AS (SELECT *, avg(qtd_erros) OVER w AS m, coalesce(stddev_samp(qtd_erros) OVER w, 0) AS sd FROM c
+  WINDOW w AS (PARTITION BY regiao, classe_erro ORDER BY data ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, (qtd_erros - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zs FROM r),""" + UNUSUAL + """,
+h AS (SELECT round(score, 6) AS anomaly_score, data || '|' || regiao || '|' || classe_erro AS chave, data, regiao, classe_erro, qtd_erros, score > 0 OR abs(zs) >= 3 AS is_anomaly FROM u
+  WHERE regiao = 'click' AND data BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'),
+n AS (SELECT *, row_number() OVER (ORDER BY anomaly_score DESC, chave) AS rn FROM h)
+SELECT anomaly_score, chave, data, regiao, classe_erro, qtd_erros, is_anomaly, CAST((rn - 1) // 25 + 1 AS INTEGER) AS pagina FROM n WHERE rn <= 125""",
 )
 _NUM = ["dias_ate_vencimento", "qtd_notas_uc_90d", "taxa_atraso_uc_90d", "historico_incidentes_12m", "carga_colaboradores_base"]
 

@@ -694,11 +694,33 @@ q(
     f"SELECT cod_uc, count(*) AS meses_nao_lido FROM reads WHERE NOT flag_lido AND data_referencia >= {REF} - INTERVAL 6 MONTH "
     "GROUP BY 1 HAVING count(*) >= 3",
 )
+_LEVELS = ["cod_distribuidora", "cod_ut", "cod_co", "cod_base", "cod_lote", "cod_colaborador"]
+_PERIODS = {"ano": "year(dia)", "trimestre": "date_trunc('quarter', dia)::DATE", "mes": "date_trunc('month', dia)::DATE",
+            "semana": "date_trunc('week', dia)::DATE", "dia": "dia"}
+_CELLS = f""", hn AS (SELECT cod_distribuidora, cod_ut, cod_base % 5 AS cod_co, cod_base, cod_lote, cod_colaborador, cod_uc, status_atraso, dias_atraso, dia,
+  {", ".join(f"{x} AS {n}" for n, x in _PERIODS.items() if n != "dia")} FROM (SELECT *, CAST(data_criacao AS DATE) AS dia FROM notes))"""
+
+
+def _cells_sql(periods) -> str:
+    return f"""SELECT {", ".join(_LEVELS)}, {", ".join(periods)}, {" + ".join(f"grouping({c})" for c in _LEVELS)} AS nivel, {" + ".join(f"grouping({c})" for c in periods)} AS periodo,
+count(*) AS total, count(*) FILTER (status_atraso = 'ATRASADO') AS atrasadas, CAST(sum(dias_atraso) AS BIGINT) AS dias_atraso, count(DISTINCT cod_uc) AS unidades
+FROM hn GROUP BY ROLLUP ({", ".join(_LEVELS)}), ROLLUP ({", ".join(periods)})"""
+
+
+def _cells(spark, sf, *periods):
+    return metrics.rollup(op.silver_notes(spark, sf).withColumn("cod_co", F.pmod("cod_base", F.lit(5))), _LEVELS, "data_criacao", periods)
+
+
+q("hierarchy_rollup", lambda s, d: _cells(s, d, "ano"), _NOTES, _CELLS + " " + _cells_sql(["ano"]))
 q(
-    "hierarchy_rollup", lambda s, d: metrics.rollup(op.silver_notes(s, d), "cod_distribuidora", "cod_ut", "cod_base"), _NOTES,
-    "SELECT cod_distribuidora, cod_ut, cod_base, grouping(cod_distribuidora, cod_ut, cod_base)::BIGINT AS nivel, count(*) AS total, "
-    "count(*) FILTER (status_atraso = 'ATRASADO') AS atrasadas, CAST(sum(dias_atraso) AS BIGINT) AS dias_atraso FROM notes "
-    "GROUP BY ROLLUP (cod_distribuidora, cod_ut, cod_base)",
+    "hierarchy_calendar_totals",
+    lambda s, d: _cells(s, d, *metrics.PERIODS).groupBy("nivel", "periodo").agg(
+        F.count(F.lit(1)).alias("celulas"), F.sum("total").alias("total"), F.sum("atrasadas").alias("atrasadas"), F.sum("dias_atraso").alias("dias_atraso"),
+        F.sum("unidades").alias("unidades"), F.max("unidades").alias("maior"),
+    ),
+    _NOTES,
+    _CELLS + f", ce AS ({_cells_sql(_PERIODS)}) SELECT nivel, periodo, count(*) AS celulas, CAST(sum(total) AS BIGINT) AS total, CAST(sum(atrasadas) AS BIGINT) AS atrasadas, "
+    "CAST(sum(dias_atraso) AS BIGINT) AS dias_atraso, CAST(sum(unidades) AS BIGINT) AS unidades, max(unidades) AS maior FROM ce GROUP BY 1, 2",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wattlake import bindings as b
 from wattlake import runtime
 from wattlake.catalog.base import add
+from wattlake.catalog.feature_queries import UNUSUAL
 from wattlake.catalog.operation_queries import q
 from wattlake.catalog.sqlparts import COMPLAINTS, over_frame
 from wattlake.catalog.view_queries import rounded
@@ -250,9 +251,9 @@ q(
 HAVING CAST(any_value(ts) AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)),
 r AS (SELECT *, avg(qtd_erros) OVER w AS m, coalesce(stddev_samp(qtd_erros) OVER w, 0) AS sd FROM c
   WINDOW w AS (PARTITION BY regiao ORDER BY data ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, (qtd_erros - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zs FROM r)
+z AS (SELECT *, (qtd_erros - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS zs FROM r),""" + UNUSUAL + """
 SELECT data, regiao, classe_erro, qtd_erros, round(m, 6) AS rolling_mean_7d, round(sd, 6) AS rolling_std_7d, round(zs, 6) AS zscore,
-round(abs(zs), 6) AS anomaly_score, abs(zs) >= 1.5 AS is_anomaly FROM z""",
+round(score, 6) AS anomaly_score, score > 0 OR abs(zs) >= 1.5 AS is_anomaly FROM u""",
 )
 
 

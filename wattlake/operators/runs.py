@@ -46,3 +46,35 @@ def run_lengths(
         .withColumn(alias, F.when(F.col("_flag") == 1, total).otherwise(0).cast("long"))
         .drop("_slice", "_flag", "_rn", "_last0", "_local", "_carry")
     )
+
+
+def neighbours(
+    df: DataFrame, keys: list[str], order: str, slice_by: Column, before: dict[str, str] | None = None, after: dict[str, str] | None = None
+) -> DataFrame:
+    """WIN/SNK17: values of the row before (``before``: name to column) and after (``after``) each row of a key, NULL at the ends.
+
+    ``order`` is unique in a key. As for runs, rows are cut into ordered slices (``slice_by`` must not decrease along ``order``): the inner
+    windows are (key, slice), and the first and last row of each slice, one row, carry the values across. A hot key is spread over its slices.
+    """
+    before, after = before or {}, after or {}
+    inner = W.partitionBy(*keys, "_slice").orderBy(order)
+    by_slice = W.partitionBy(*keys).orderBy("_slice")
+    cut = df.withColumn("_slice", slice_by)
+    edges = cut.groupBy(*keys, "_slice").agg(
+        F.max_by(F.struct(*[F.col(c).alias(n) for n, c in before.items()], F.lit(0).alias("_")), order).alias("_last"),
+        F.min_by(F.struct(*[F.col(c).alias(n) for n, c in after.items()], F.lit(0).alias("_")), order).alias("_first"),
+    )
+    carried = edges.select(*keys, "_slice", F.lag("_last").over(by_slice).alias("_left"), F.lead("_first").over(by_slice).alias("_right"))
+    placed = cut.withColumns(
+        {"_start": F.row_number().over(inner) == 1, "_stop": F.lead(F.lit(1)).over(inner).isNull()}
+        | {n: F.lag(c).over(inner) for n, c in before.items()} | {n: F.lead(c).over(inner) for n, c in after.items()}
+    )
+    same = F.col("l._slice") == F.col("r._slice")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = placed.alias("l").join(carried.alias("r"), same)
+    return joined.select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        *[F.when(F.col("l._start"), F.col(f"r._left.{n}")).otherwise(F.col(f"l.{n}")).alias(n) for n in before],
+        *[F.when(F.col("l._stop"), F.col(f"r._right.{n}")).otherwise(F.col(f"l.{n}")).alias(n) for n in after],
+    )

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattlake.operators.dedup import latest_wins
+from wattlake.operators.runs import neighbours
 
 
 def changed_since(source: DataFrame, target: DataFrame, processed: str, loaded: str) -> DataFrame:
@@ -30,15 +30,15 @@ def merge_latest(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 def history(versions: DataFrame, keys: list[str], valid_from: str, tracked: list[str]) -> DataFrame:
     """SNK17: type-2 history. Only changes of the tracked columns open a new version.
 
-    Versions of the same key and time collapse first, so the ordered window of a key holds its distinct change times.
+    Versions of the same key and time collapse first. The row before and the change after are found over years of a key, so that a
+    key with most of the versions is not one window.
     """
     stamp = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tracked]), 256)
     rows = latest_wins(versions.select(*keys, valid_from, *tracked), [*keys, valid_from], [F.lit(0)]).withColumn("_h", stamp)
-    w = W.partitionBy(*keys).orderBy(valid_from)
-    changed = rows.withColumn("_prev", F.lag("_h").over(w)).filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("_h")))
-    return changed.select(
-        *keys, *tracked, F.col(valid_from).alias("valid_from"), F.lead(valid_from).over(w).alias("valid_to")
-    ).withColumn("is_current", F.col("valid_to").isNull())
+    years = F.year(valid_from)
+    changed = neighbours(rows, keys, valid_from, years, before={"_prev": "_h"}).filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("_h")))
+    closed = neighbours(changed.select(*keys, *tracked, F.col(valid_from).alias("valid_from")), keys, "valid_from", F.year("valid_from"), after={"valid_to": "valid_from"})
+    return closed.withColumn("is_current", F.col("valid_to").isNull())
 
 
 def insert_only(target: DataFrame, source: DataFrame, period: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattlake.functions.rules import clip
-from wattlake.operators.quantiles import linear_percentiles
+from wattlake.operators.quantiles import linear_percentiles, order_statistics
 from wattlake.operators.runs import run_lengths
 
 
@@ -194,15 +194,35 @@ def daily_hotspots(df: DataFrame, time: str, region: str, cause: str, threshold:
     return score_daily_counts(counts, threshold)
 
 
-def score_daily_counts(counts: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """Rolling mean, sample deviation and z-score over the last seven rows of each series."""
+def score_daily_counts(counts: DataFrame, threshold: float = 3.0, share: float = 0.1) -> DataFrame:
+    """Rolling mean, sample deviation and z-score over the last seven rows of each series, and which rows are unusual among all."""
     w = W.partitionBy("regiao", "classe_erro").orderBy("data").rowsBetween(-6, 0)
     spread = F.coalesce(F.stddev_samp("qtd_erros").over(w), F.lit(0.0))
     scored = counts.withColumns({"rolling_mean_7d": F.avg("qtd_erros").over(w), "rolling_std_7d": spread})
     z = (F.col("qtd_erros") - F.col("rolling_mean_7d")) / F.when(F.col("rolling_std_7d") == 0, 1.0).otherwise(F.col("rolling_std_7d"))
-    return scored.withColumn("zscore", z).withColumns(
-        {"anomaly_score": F.abs("zscore"), "is_anomaly": F.abs("zscore") >= threshold}
-    )
+    return flag_unusual(scored.withColumn("zscore", z), ["qtd_erros", "rolling_mean_7d", "zscore"], "zscore", threshold, share)
+
+
+def flag_unusual(df: DataFrame, columns: list[str], z: str, threshold: float, share: float, fewest: int = 4) -> DataFrame:
+    """ML09: ``anomaly_score`` and ``is_anomaly``. The score is the distance of a row from the mean of all rows, each column in its own deviations,
+    less the exact quantile that leaves ``share`` of the rows above it; so rows above 0 are unusual, whatever the scale of the counts.
+
+    A z-score inside its own seven rows never exceeds 2.27, so it cannot flag alone. Fewer than ``fewest`` rows have no quantile and go by z.
+    """
+    stats = df.agg(
+        F.struct(F.count(F.lit(1)).alias("_rows"), *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).alias("st")
+    ).select("st").scalar()
+    held = df.withColumn("_st", stats)
+    parts = [(F.col(c) - F.col(f"_st.{c}.m")) / F.when(F.col(f"_st.{c}.s") > 0, F.col(f"_st.{c}.s")).otherwise(1.0) for c in columns]
+    squares = parts[0] * parts[0]
+    for x in parts[1:]:
+        squares = squares + x * x
+    far = held.withColumn("_far", F.round(F.sqrt(squares), 9))
+    cut = linear_percentiles(far, [], "_far", {"cut": 1 - share}).select("cut").scalar()
+    many = F.col("_st._rows") >= fewest
+    score = F.when(many, F.round(F.col("_far") - cut, 9)).otherwise(F.abs(z))
+    flagged = far.withColumn("anomaly_score", score)
+    return flagged.withColumn("is_anomaly", (many & (F.col("anomaly_score") > 0)) | (F.abs(z) >= threshold)).drop("_st", "_far")
 
 
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
@@ -275,12 +295,17 @@ def parse_explanations(x: Column) -> Column:
 
 
 def decile_position(scores: DataFrame, share: float, score: str = "score", key: str = "entity_id") -> DataFrame:
-    """SRT06: the best-scored share of rows, by one ordered limit whose size is computed first.
+    """SRT06: the best-scored share of rows, ties at the cut by key.
 
-    ``limit`` needs a number, so one count is taken; the ordered limit then keeps only that many rows per task.
+    The score at the cut is an exact order statistic. Rows above it are kept where they are; only rows tied at the cut are ranked.
     """
-    n = max(1, int(scores.count() * share))
-    return scores.orderBy(F.desc(score), key).limit(n)
+    rows = scores.filter(F.col(score).isNotNull())
+    cut = order_statistics(rows, [], score, {"cut": f"n - greatest(1, floor({share} * n))"}).select("cut").scalar()
+    marked = rows.withColumn("_cut", cut)
+    above = marked.filter(F.col(score) > F.col("_cut"))
+    wanted = marked.agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count(F.lit(1)))) - F.count_if(F.col(score) > F.col("_cut"))).first()[0]
+    tied = marked.filter(F.col(score) == F.col("_cut")).orderBy(key).limit(max(0, int(wanted)))
+    return above.unionByName(tied).drop("_cut")
 
 
 # ---- snapshots ------------------------------------------------------------------------------------------------

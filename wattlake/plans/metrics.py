@@ -148,9 +148,31 @@ def repeat_unread(reads: DataFrame, reference: str, at_least: int = 3) -> DataFr
     )
 
 
-def rollup(notes: DataFrame, *levels: str) -> DataFrame:
-    """Every level of a hierarchy in one pass."""
-    return notes.rollup(*levels).agg(
-        F.grouping_id().cast("long").alias("nivel"), F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("status_atraso") == "ATRASADO").alias("atrasadas"), F.sum("dias_atraso").alias("dias_atraso"),
+PERIODS = ("ano", "trimestre", "mes", "semana", "dia")
+
+
+def rollup(notes: DataFrame, levels: list[str], time: str, periods: tuple[str, ...] = PERIODS, unit: str = "cod_uc") -> DataFrame:
+    """Every level of a hierarchy at every level of the calendar (year, quarter, month, week, day), in one pass.
+
+    ``nivel`` and ``periodo`` count the levels that are summed up, 0 being the finest. Notes of a (finest cell, day, unit) are merged first, and
+    units are counted exactly: Spark groups by (cell, unit) before it counts, so a unit in many notes travels once a cell.
+    """
+    day = F.col(time).cast("date")
+    calendar = {
+        "ano": F.year(day), "trimestre": F.trunc(day, "quarter"), "mes": F.trunc(day, "month"), "semana": F.trunc(day, "week"), "dia": day,
+    }
+    calendar = {p: calendar[p] for p in periods}
+    # A week can lie in two months; it is a part of its month here, as a roll-up has one parent a cell.
+    cells = notes.select(*levels, unit, "status_atraso", "dias_atraso", *[c.alias(n) for n, c in calendar.items()])
+    merged = cells.groupBy(*levels, *calendar, unit).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_atraso") == "ATRASADO").alias("a"), F.sum("dias_atraso").alias("d")
+    )
+    places = [[F.col(c) for c in levels[:i]] for i in range(len(levels) + 1)]
+    periods = [[F.col(c) for c in list(calendar)[:i]] for i in range(len(calendar) + 1)]
+    columns = [F.col(c) for c in (*levels, *calendar)]
+    sets = merged.groupingSets([[*p, *t] for p in places for t in periods], *columns)
+    up = lambda names: sum((F.grouping(c).cast("long") for c in names), F.lit(0).cast("long"))
+    return sets.agg(
+        up(levels).alias("nivel"), up(calendar).alias("periodo"), F.sum("n").alias("total"), F.sum("a").alias("atrasadas"), F.sum("d").alias("dias_atraso"),
+        F.countDistinct(unit).alias("unidades"),
     )
