@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"))
 
 
+LEAST_BUCKETS = 32
+BUCKET_ROWS = 4_000_000  # digests of a bucket, one task's share: about 250 MB
+
+
 class DigestIndex:
     """Digests seen so far with the id of the row that stays.
 
@@ -23,17 +28,34 @@ class DigestIndex:
     It is bucketed and sorted by digest, so a batch is shuffled once into the bucket layout and merged with it; the index itself
     is never shuffled. One row per text enters, whatever the number of copies, so a hot digest weighs one row.
 
-    Ingesting a batch again adds nothing, so a driver that failed half way repeats the batch.
+    Ingesting a batch again adds nothing, so a driver that failed half way repeats the batch. The number of buckets is written beside the index
+    when it is made, and kept: an index opened without a number takes its own, and one opened with another number is refused, for its
+    files would be read in the wrong buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        known = self._known(spark, path)
+        if known is not None and buckets not in (None, known):
+            raise ValueError(f"the index at {path} has {known} buckets, not {buckets}")
+        self.spark, self.path, self.buckets = spark, path, known or buckets or LEAST_BUCKETS
+        if known is None:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}-buckets")
+        buckets = self.buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @staticmethod
+    def _known(spark: SparkSession, path: str) -> int | None:
+        try:
+            return spark.read.schema("buckets int").parquet(f"{path}-buckets").first()[0]
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -68,8 +90,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int
     """
     spark = docs.sparkSession
     digests = saved(text_digests(docs), "digests")
-    index = index or DigestIndex(spark, shared_path(spark, "digest-index"))
-    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high, rows = digests.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    index = index or DigestIndex(spark, shared_path(spark, "digest-index"), max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
     if low is None:
         index.ingest(digests)
         return index.decide(digests)

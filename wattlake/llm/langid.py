@@ -253,7 +253,9 @@ def known_language(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     if not model.languages:
         return docs.filter(has_letter())
-    found = identify(docs, model)
+    # The document's own columns travel in one struct, so that none of theirs meets a column of the model.
+    found = identify(docs.select(F.struct("*").alias("own"), F.col("text").cast("string").alias("text")), model)
     plain = F.col("bits") <= 8 * F.octet_length("text") + 64
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & plain)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    named = lambda c: F.coalesce(F.col("own").getField(c), F.col("lang_pred")) if c == "lang" else F.col("own").getField(c)
+    return kept.select(*[named(c).alias(c) for c in columns])

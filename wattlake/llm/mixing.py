@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlake.llm.common import WORD, hashed, prefix_sums, saved
@@ -15,10 +15,27 @@ from wattlake.llm.common import WORD, hashed, prefix_sums, saved
 LEVELS = 6  # levels of the splitting tree that one task does for a node
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Add row_id, the place of each row in the order of its two content hashes ``h1``, ``h2``, and drop these.
+
+    So the numbers, and all draws that hang on them, come from the rows alone and not from how a scan was split. Rows that are equal in
+    all hashed columns may swap numbers, which changes nothing. Written, so that the numbers stay.
+    """
+    numbered = prefix_sums(rows.withColumn("one", F.lit(1).cast("long")), [], ["h1", "h2"], {"row_id": "one"}, "ranked")
+    return saved(numbered.drop("one", "h1", "h2"), "sized")
+
+
+def content(docs: DataFrame) -> list[Column]:
+    """Two independent hashes of a row over all its columns that can be hashed."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return [hashed(*columns, seed=21).alias("h1"), hashed(*columns, seed=22).alias("h2")]
+
+
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, source, size): words of the whole text, 0 for null, written so that row numbers stay."""
+    """(row_id, doc_id, source, size): words of the whole text, 0 for null."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    return saved(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size.alias("size")), "sized")
+    plain = docs.select("doc_id", "source", text_col)
+    return ranked(plain.select("doc_id", "source", size.alias("size"), *content(plain)))
 
 
 def source_targets(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -146,7 +163,7 @@ def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Per document: size, size and target of its source, and the words that the mix takes of it (repeats counted).
 
     Null text has size 0; null sources form the last source; a null doc_id stays null. Repeated rows are documents of their own. Without any
-    word all targets are 0 and nothing is taken. Reruns over the same input files take the same.
+    word all targets are 0 and nothing is taken. Reruns over the same rows take the same, however they are split.
     """
     rows = sized(docs)
     targets = saved(source_targets(rows), "targets")
@@ -164,9 +181,12 @@ def mix_documents(docs: DataFrame, seed: int = 0, columns: Sequence[str] | None
     A document that is taken twice comes twice, one that is not taken is absent. ``columns`` limits and orders the result.
     """
     columns = list(columns or docs.columns)
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    # The document's own columns travel in one struct, so that no name of theirs meets one of the mix.
+    own = docs.select(F.struct("*").alias("own"), "source", "text", *content(docs))
+    held = saved(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = saved(numbered.select(F.col("_row").alias("row_id"), "source", size.alias("size")), "sized")
-    draws = draw(rows, saved(source_targets(rows), "targets"), seed).select(F.col("row_id").alias("_row"), "shard", "place")
-    mixed = numbered.join(draws.withColumnsRenamed({"shard": "_shard", "place": "_place"}), "_row")
-    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*columns)
+    rows = ranked(held.select("row", "source", size.alias("size"), "h1", "h2"))
+    draws = draw(rows, saved(source_targets(rows), "targets"), seed).join(rows.select("row_id", "row"), "row_id").select("row", "shard", "place")
+    mixed = held.select("row", "own").join(draws, "row")
+    placed = mixed.repartition("shard").sortWithinPartitions("shard", "place")
+    return placed.select(*[F.col("own").getField(c).alias(c) for c in columns])
