@@ -18,6 +18,7 @@ from wattlake.plans import frame as fr
 from wattlake.plans import retrieval as rt
 
 from wattlake.sources import scans
+from wattlake.sources.versioned import VersionedTable
 from wattlake.streaming import jobs
 
 
@@ -189,11 +190,14 @@ q(
     "stream_incremental", lambda s, d: _append(event_stream(s, d), s, "stream_incremental").drop("props"),
     "SELECT event_id, ts, user_id, event_type, round(value, 6) AS value FROM events",
 )
-q(
-    "stream_drop_repeats",
-    lambda s, d: _append(jobs.drop_repeats(event_stream(s, d), "ts", "1 hour", ["event_id"]), s, "stream_repeats").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
-)
+def _drop_repeats(spark, sf):
+    folder = scratch(spark, "stream_repeats")
+    once = jobs.drop_repeats(_slices(spark, sf, folder, 4), "ts", "60 days", ["event_id"])
+    _finish(jobs.append_bronze(once, f"{folder}/data", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/data").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+q("stream_drop_repeats", _drop_repeats, "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 
 
 def _telemetry_stream(spark, sf):
@@ -203,9 +207,9 @@ def _telemetry_stream(spark, sf):
 
 q(
     "stream_telemetry_kpis",
-    lambda s, d: _append(jobs.telemetry_kpis(_telemetry_stream(s, d)), s, "stream_kpis").select("start", "turns", "hit_rate"),
+    lambda s, d: _append(jobs.telemetry_kpis(_telemetry_stream(s, d)), s, "stream_kpis").select("start", "turns", "hit_rate", "p50", "p95"),
     """SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS turns, round(avg((CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0)::INT), 6)
-AS hit_rate FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 10 MINUTE, any_value(ts)) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 30 MINUTE FROM events)""",
+AS hit_rate, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 10 MINUTE, any_value(ts)) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 30 MINUTE FROM events)""",
 )
 q(
     "stream_daily_counts",
@@ -216,26 +220,46 @@ GROUP BY 1, 2, 3 HAVING CAST(any_value(ts) AS DATE) + INTERVAL 1 DAY <= (SELECT
 )
 
 
+def _slices(spark, sf, folder: str, count: int):
+    """The events as a stream of ``count`` slices that arrive one after the other; keys and times repeat from slice to slice."""
+    events = b.table(spark, sf, "events")
+    for i in range(count):
+        part = events.filter(F.pmod("event_id", F.lit(count)) == i)
+        if i:  # what came before comes again with the next slice
+            part = part.unionByName(events.filter((F.pmod("event_id", F.lit(count)) == i - 1) & (F.pmod("event_id", F.lit(7)) == 0)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/entrada")
+    return jobs.read_files(spark, f"{folder}/entrada", EVENTS, per_trigger=1)
+
+
 def _stream_upsert(spark, sf):
     folder = scratch(spark, "stream_upsert")
-    stream = event_stream(spark, sf).select("user_id", "ts", "event_type", "value", F.pmod("user_id", F.lit(16)).alias("bucket"))
-    _finish(jobs.upsert(stream, folder, f"{folder}/checkpoint", ["user_id"], "ts", "bucket"))
-    return spark.read.parquet(f"{folder}/data").select("user_id", "ts", "event_type", "value")
+    stream = _slices(spark, sf, folder, 4).select("user_id", "ts", "event_type", "value", F.pmod("user_id", F.lit(16)).alias("bucket"))
+    _finish(jobs.upsert(stream, f"{folder}/tabela", f"{folder}/checkpoint", ["user_id"], "ts", "bucket"))
+    table = VersionedTable(spark, f"{folder}/tabela", stream.schema, "bucket")
+    version, last, _ = table.manifest()
+    return table.read().select("user_id", "ts", "event_type", "value", F.lit(version).alias("versao"), F.lit(last).alias("lote"))
 
 
 q(
     "stream_upsert", _stream_upsert,
-    "SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, round(arg_max(value, ts), 6) AS value FROM events GROUP BY 1",
+    "SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, round(arg_max(value, ts), 6) AS value, 4 AS versao, 3 AS lote FROM events GROUP BY 1",
 )
 
 
 def _stream_late(spark, sf):
     folder = scratch(spark, "stream_late")
-    _finish(jobs.split_late(event_stream(spark, sf), "ts", "1 day", f"{folder}/on_time", f"{folder}/late", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/on_time").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    paths = [f"{folder}/{x}" for x in ("on_time", "late", "marks", "checkpoint")]
+    _finish(jobs.split_late(_slices(spark, sf, folder, 4), "ts", "10 days", *paths))
+    kinds = [spark.read.parquet(p).select(F.lit(k).alias("atrasado"), "event_type", F.col("_batch").cast("int").alias("lote")) for k, p in ((False, paths[0]), (True, paths[1]))]
+    return kinds[0].unionByName(kinds[1]).groupBy("atrasado", "lote", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-q("stream_late_split", _stream_late, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+q(
+    "stream_late_split", _stream_late,
+    """WITH s AS (SELECT *, CAST(event_id % 4 AS INTEGER) AS lote FROM events UNION ALL SELECT *, CAST(event_id % 4 + 1 AS INTEGER) FROM events WHERE event_id % 7 = 0 AND event_id % 4 < 3),
+m AS (SELECT lote, max(ts) AS mx FROM s GROUP BY 1), p AS (SELECT lote, max(mx) OVER (ORDER BY lote ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antes FROM m)
+SELECT coalesce(ts < antes - INTERVAL 10 DAY, false) AS atrasado, lote, event_type, count(*) AS n FROM s JOIN p USING (lote) GROUP BY 1, 2, 3""",
+)
 
 
 def _stream_hotspots(spark, sf):

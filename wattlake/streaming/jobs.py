@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from wattlake.operators.dedup import latest_wins
 from wattlake.plans.silver import reject_reasons
 from wattlake.sources.contracts import Contract
+from wattlake.sources.versioned import VersionedTable
+
+
+MARKS = StructType([StructField("mais_novo", TimestampType()), StructField("_batch", LongType())])
 
 
 def read_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -36,24 +40,14 @@ def append_bronze(stream: DataFrame, path: str, checkpoint: str, partition_by: s
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, bucket: str) -> StreamingQuery:
-    """STR02: latest-wins upsert of a table partitioned by ``bucket`` (a column derived from the key).
+    """STR02/SNK06: latest-wins upsert of a versioned table in buckets (``bucket`` is a column derived from the key).
 
-    A batch touches only the partitions of its own keys: their current rows and the batch are deduplicated together and
-    written as a new version of those partitions. Replaying a batch gives the same rows, so at-least-once is enough.
+    A batch reads and rewrites only the buckets of its own keys and becomes visible at once, with its manifest. A replayed batch is a no-op.
     """
+    table = VersionedTable(stream.sparkSession, path, stream.schema, bucket)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stage = f"{path}/_stage/{batch_id}"
-        touched = batch.select(bucket).distinct()
-        current = written(spark, f"{path}/data", batch.schema)
-        current = batch.limit(0) if current is None else current.join(touched, bucket, "left_semi")
-        merged = latest_wins(current.unionByName(batch), keys, [F.col(order)])
-        merged.write.mode("overwrite").parquet(stage)
-        (
-            spark.read.schema(batch.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(bucket).parquet(f"{path}/data")
-        )
+        table.commit(batch, batch_id, lambda current, new: latest_wins(current.unionByName(new), keys, [F.col(order)]))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -68,18 +62,23 @@ def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame | N
         raise
 
 
-def split_late(stream: DataFrame, time: str, delay: str, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
-    """STR03: rows older than the newest time seen so far minus the delay go to a side table instead of being lost."""
+def split_late(stream: DataFrame, time: str, delay: str, on_time: str, late: str, marks: str, checkpoint: str) -> StreamingQuery:
+    """STR03: rows older than the newest time seen in earlier batches minus the delay go to a side table instead of being lost.
+
+    Each batch leaves one row with its newest time; the bound is the largest of the marks before it, so no table is scanned again and a
+    replayed batch is routed as it was.
+    """
 
     def route(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = written(spark, on_time, batch.withColumn("_batch", F.lit(batch_id)).schema)
-        # Rows of this batch or a later one, left by a run that failed, are not part of what it saw: a replay routes alike.
-        newest = None if before is None else before.filter(F.col("_batch") < batch_id).agg(F.max(time)).first()[0]
+        before = written(spark, marks, MARKS)
+        newest = None if before is None else before.filter(F.col("_batch") < batch_id).agg(F.max("mais_novo")).first()[0]
         bound = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         tagged = batch.withColumn("_late", F.coalesce(F.col(time) < bound, F.lit(False))).withColumn("_batch", F.lit(batch_id))
-        tagged.filter("_late").drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(late)
-        tagged.filter("NOT _late").drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(on_time)
+        per_batch = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch")
+        per_batch(tagged.filter("_late").drop("_late")).parquet(late)
+        per_batch(tagged.filter("NOT _late").drop("_late")).parquet(on_time)
+        per_batch(batch.agg(F.max(time).cast("timestamp").alias("mais_novo")).withColumn("_batch", F.lit(batch_id).cast("long"))).parquet(marks)
 
     return stream.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
