@@ -204,3 +204,20 @@ def test_materialise_once(spark):
     assert runtime.materialise(spark, build, "t", "v1").count() == 3
     assert runtime.materialise(spark, build, "t", "v1").count() == 3
     assert len(calls) == 1
+
+
+def test_fallback_labels_learn_from_classified_rows(spark):
+    from wattlake.plans import fallback
+
+    rows = [(i, "digitacao errada do leiturista", "digitacao") for i in range(40)] + [(i, "medidor danificado quebrado", "medidor") for i in range(40, 70)]
+    rows += [(100, "medidor quebrado ontem", "indefinido"), (101, "leiturista errada", "indefinido"), (102, None, "indefinido"), (103, "", "indefinido")]
+    df = spark.createDataFrame(rows, "k long, t string, c string")
+    got = fallback.fallback_labels(df, "k", "t", "c", "indefinido")
+    by_key = {r.k: r for r in got.collect()}
+    assert len(by_key) == len(rows) and by_key[100].rotulo == "medidor" and by_key[101].rotulo == "digitacao"
+    assert by_key[102].rotulo == by_key[103].rotulo == "digitacao"  # no word: the commonest class
+    assert all(0 < r.confianca <= 1 for r in by_key.values()) and by_key[0].confianca == 1.0
+    report = fallback.coverage(got, "indefinido").first()
+    assert report.indefinidos_antes == 4 and report.indefinidos_depois == 0 and report.conferidos == report.concordantes > 0
+    none = fallback.fallback_labels(df.filter("c = 'indefinido'"), "k", "t", "c", "indefinido").collect()
+    assert {r.rotulo for r in none} == {"indefinido"}

@@ -9,12 +9,14 @@ from wattlake import runtime
 from wattlake.catalog.base import add
 from wattlake.catalog.operation_queries import q
 from wattlake.catalog.sqlparts import COMPLAINTS, classifier_ctes, clean, in_list, lit, theme
+from wattlake.catalog.sqlparts import fold as fold_sql
 from wattlake.functions import questions as qs
 from wattlake.functions import taxonomy as tax
 from wattlake.functions import text as tx
 from wattlake.functions import themes as th
 from wattlake.operators import postings
 from wattlake.plans import evaluation as ev
+from wattlake.plans import fallback as fb
 from wattlake.plans import retrieval as rt
 from wattlake.plans import telemetry as tm
 from wattlake.plans.surfaces import apply_boosts
@@ -107,6 +109,38 @@ q(
     "src AS (SELECT devolutiva AS txt FROM complaints)", classifier_ctes("src"),
     "SELECT classe, confidence, count(*) AS n FROM complaints JOIN cls ON txt = devolutiva GROUP BY 1, 2",
 )
+
+
+def _fallback(spark, sf):
+    rows = tax.classify(docs(spark, sf), "text").select("doc_id", "text", "classe")
+    version = runtime.dataset_version(spark, [f"{sf}/documents.parquet"])
+    # Classified once: the rows are read by the word counts and by the labels.
+    kept = runtime.materialise(spark, lambda: rows, "classified_documents", version)
+    return fb.fallback_labels(kept, "doc_id", "text", "classe", UNDEFINED)
+
+
+UNDEFINED = "indefinido"
+_FB = """
+fo AS MATERIALIZED (SELECT doc_id, classe, regexp_extract_all(lower({t}), '[\\pL\\pM\\pN_]{{3,}}') AS ws, {h} AS te FROM documents JOIN cls ON txt = text),
+ft AS MATERIALIZED (SELECT doc_id, classe, te, t, count(*) AS tf FROM (SELECT doc_id, classe, te, unnest(ws) AS t FROM fo) GROUP BY ALL),
+us AS MATERIALIZED (SELECT t, classe AS rotulo, sum(tf)::DOUBLE AS n FROM ft WHERE classe <> 'indefinido' AND NOT te GROUP BY 1, 2),
+cl AS MATERIALIZED (SELECT classe AS rotulo, count(*)::DOUBLE AS k, coalesce((SELECT sum(n) FROM us WHERE us.rotulo = fo.classe), 0) AS w FROM fo
+  WHERE classe <> 'indefinido' AND NOT te GROUP BY classe),
+aq AS (SELECT doc_id, len(ws) AS m FROM fo WHERE classe = 'indefinido' OR te),
+sw AS (SELECT ft.doc_id, us.rotulo, sum(tf * ln(n + 1)) AS s FROM ft JOIN us USING (t) GROUP BY 1, 2),
+sc AS MATERIALIZED (SELECT aq.doc_id, cl.rotulo, round(ln(k / (SELECT sum(k) FROM cl)) - m * ln(w + (SELECT count(DISTINCT t) FROM us)) + coalesce(s, 0), 6) AS s
+  FROM aq CROSS JOIN cl LEFT JOIN sw ON sw.doc_id = aq.doc_id AND sw.rotulo = cl.rotulo),
+mx AS (SELECT doc_id, max(s) AS x FROM sc GROUP BY 1),
+fl AS (SELECT doc_id, min(rotulo) FILTER (s = x) AS r, 1 / sum(exp(s - x)) AS c FROM sc JOIN mx USING (doc_id) GROUP BY 1),
+fb AS MATERIALIZED (SELECT doc_id, classe, CASE WHEN classe <> 'indefinido' THEN classe ELSE coalesce(r, 'indefinido') END AS rotulo,
+  CASE WHEN classe <> 'indefinido' THEN 1 ELSE coalesce(c, 0) END AS confianca, CASE WHEN classe <> 'indefinido' AND te THEN r = classe END AS conferido
+  FROM fo LEFT JOIN fl USING (doc_id))""".format(t=fold_sql("text"), h="('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT % 5 = 0")
+q("fallback_labels", _fallback, "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB, "SELECT * FROM fb")
+q(
+    "fallback_coverage", lambda s, d: fb.coverage(_fallback(s, d), UNDEFINED), "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB,
+    "SELECT count(*) AS registros, count(*) FILTER (classe = 'indefinido') AS indefinidos_antes, count(*) FILTER (rotulo = 'indefinido') AS indefinidos_depois, "
+    "count(conferido) AS conferidos, count(*) FILTER (conferido) AS concordantes FROM fb",
+)
 q(
     "page_themes",
     lambda s, d: runtime.spread(b.table(s, d, "pages")).groupBy(th.theme_of(tx.clean_text(F.col("html"))).alias("tema")).agg(F.count(F.lit(1)).alias("n")),
