@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from wattlake.operators import pages
 from wattlake.plans import features as ft
 from wattlake.plans import models as ml
 from wattlake.plans import quality
+from wattlake.plans import textmodels as tm
 
 OBS = "1999-06-30"
 _O = f"DATE '{OBS}'"
@@ -355,3 +357,53 @@ add(
         ft.default_features(op.payments(s, d), OBS), "data_vencimento", "flag_inadimplente", ["valor_fatura", "qtd_faturas_uc_12m"], 2
     ),
 )
+
+
+# ---- text vectors, time folds, topics -------------------------------------------------------------------------
+def _keep(spark):
+    """Writes a frame once to the shared folder and reads it back; learned tables are read in many rounds."""
+    return lambda df: runtime.materialise(spark, lambda: df, "text_model", uuid.uuid4().hex[:8])
+
+
+def _labelled(spark, sf):
+    """Complaint lines with their weak label, their text and the day they came in, written once per dataset version."""
+    version = runtime.dataset_version(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "customer", "nation", "region", "part")])
+    rows = lambda: tm.weak_labels(b.complaints(spark, sf).select("ordem", "linha", "dt_ingresso", "causa_raiz", "devolutiva"), "causa_raiz", "devolutiva")
+    return runtime.materialise(spark, rows, "weak_labelled", version)
+
+
+def _folded_vectors(spark, sf):
+    folded = tm.expanding_folds(_labelled(spark, sf), "dt_ingresso")
+    return _keep(spark)(tm.text_embeddings(folded, "devolutiva", ["ordem", "linha", "fold", "rotulo"], _keep(spark)))
+
+
+q(
+    "weak_label_folds", lambda s, d: tm.fold_sizes(tm.expanding_folds(_labelled(s, d), "dt_ingresso"), "rotulo"),
+    COMPLAINTS, "src AS (SELECT devolutiva AS txt FROM complaints)", classifier_ctes("src"),
+    f"""o AS MATERIALIZED (SELECT dt_ingresso, coalesce({canonical_label('causa_raiz')}, classe) AS rotulo, row_number() OVER (ORDER BY dt_ingresso) - 1 AS r, count(*) OVER () AS n
+  FROM complaints JOIN cls ON txt = devolutiva)""",
+    "s AS (SELECT max(n) AS n, least(3, greatest(2, max(n) // 3)) AS k FROM o)",
+    "c AS (SELECT dt_ingresso AS cut FROM o, s, range(3) g(i) WHERE i < k AND r = s.n - k * (s.n // (k + 1)) + i * (s.n // (k + 1)))",
+    "f AS MATERIALIZED (SELECT rotulo, (SELECT count(*) FROM c WHERE cut <= dt_ingresso) AS fold FROM o)",
+    """SELECT fold, count(*) AS teste, count(DISTINCT rotulo) AS classes, (SELECT count(*) FROM f g WHERE g.fold < f.fold) AS treino
+FROM f WHERE fold > 0 GROUP BY fold""",
+)
+add("text_classifier_folds", lambda s, d: tm.fold_scores(_folded_vectors(s, d), "rotulo"))
+add("text_embeddings", lambda s, d: tm.text_embeddings(b.table(s, d, "documents").select("doc_id", "text"), "text", ["doc_id"], _keep(s)))
+add("topics_with_examples", lambda s, d: tm.topics(b.table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", _keep(s))[1])
+
+
+def _label_exemplars(spark, sf):
+    rows = b.table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.sequence(F.lit(0), F.size("embedding") - 1).alias("_ids"), F.col("embedding").cast("array<double>").alias("_weights"))
+    return tm.exemplars(rows, "label", "vec_id", tm.centres(rows, "label"), 3)
+
+
+q(
+    "label_exemplars", _label_exemplars,
+    "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS w, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+    "m AS (SELECT label, i, avg(w) AS c FROM e GROUP BY 1, 2)",
+    "d AS (SELECT label, vec_id, sqrt(sum((w - c) * (w - c))) AS distancia FROM e JOIN m USING (label, i) GROUP BY 1, 2)",
+    """SELECT label, vec_id, round(distancia, 6) AS distancia, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label
+ORDER BY distancia, vec_id) AS rank FROM d) WHERE rank <= 3""",
+)

@@ -19,6 +19,7 @@ from wattlake.plans import evaluation as ev
 from wattlake.plans import fallback as fb
 from wattlake.plans import retrieval as rt
 from wattlake.plans import telemetry as tm
+from wattlake.plans import textmodels
 from wattlake.plans.surfaces import apply_boosts
 
 
@@ -135,12 +136,21 @@ fl AS (SELECT doc_id, min(rotulo) FILTER (s = x) AS r, 1 / sum(exp(s - x)) AS c
 fb AS MATERIALIZED (SELECT doc_id, classe, CASE WHEN classe <> 'indefinido' THEN classe ELSE coalesce(r, 'indefinido') END AS rotulo,
   CASE WHEN classe <> 'indefinido' THEN 1 ELSE coalesce(c, 0) END AS confianca, CASE WHEN classe <> 'indefinido' AND te THEN r = classe END AS conferido
   FROM fo LEFT JOIN fl USING (doc_id))""".format(t=fold_sql("text"), h="('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT % 5 = 0")
-q("fallback_labels", _fallback, "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB, "SELECT * FROM fb")
+q("fallback_labels", lambda s, d: _fallback(s, d).drop("previsto"), "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB, "SELECT * FROM fb")
 q(
     "fallback_coverage", lambda s, d: fb.coverage(_fallback(s, d), UNDEFINED), "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB,
     "SELECT count(*) AS registros, count(*) FILTER (classe = 'indefinido') AS indefinidos_antes, count(*) FILTER (rotulo = 'indefinido') AS indefinidos_depois, "
     "count(conferido) AS conferidos, count(*) FILTER (conferido) AS concordantes FROM fb",
 )
+q(
+    "fallback_macro_f1",
+    lambda s, d: textmodels.macro_f1(_fallback(s, d).filter("conferido IS NOT NULL"), [], "classe", "previsto"),
+    "src AS (SELECT text AS txt FROM documents)", classifier_ctes("src"), _FB,
+    "h AS (SELECT classe AS y, r AS p FROM fo JOIN fl USING (doc_id) WHERE classe <> 'indefinido' AND te)",
+    "k AS (SELECT y AS c FROM h UNION SELECT p FROM h)",
+    """SELECT round(avg(f), 6) AS macro_f1, count(*) AS classes FROM (SELECT c, (SELECT 2.0 * count(*) FILTER (y = c AND p = c)
+/ (count(*) FILTER (y = c) + count(*) FILTER (p = c)) FROM h) AS f FROM k)""",
+)
 q(
     "page_themes",
     lambda s, d: runtime.spread(b.table(s, d, "pages")).groupBy(th.theme_of(tx.clean_text(F.col("html"))).alias("tema")).agg(F.count(F.lit(1)).alias("n")),

@@ -54,7 +54,7 @@ def fallback_labels(rows: DataFrame, key: str, text: str, label: str, undefined:
     """PRJ26: per row the class of the rules, and for every row they leave undefined the likeliest class with its confidence.
 
     The model learns from the classified rows that are not held out, and is also asked about those that are, so that its agreement with the rules can be
-    measured (``conferido``). Rows without a word take the commonest class; null text has no word. Keys are unique.
+    measured (``conferido``, ``previsto``). Rows without a word take the commonest class; null text has no word. Keys are unique.
     """
     folded = rows.select(key, F.col(label).alias("classe"), fold(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     counts = terms(folded, key, "_t").select(key, "termo", "tf")
@@ -68,7 +68,7 @@ def fallback_labels(rows: DataFrame, key: str, text: str, label: str, undefined:
     return out.select(
         key, "classe", F.when(known, F.col("classe")).otherwise(F.coalesce("rotulo", F.lit(undefined))).alias("rotulo"),
         F.when(known, 1.0).otherwise(F.coalesce("confianca", F.lit(0.0))).alias("confianca"),
-        F.when(known & test, F.col("rotulo") == F.col("classe")).alias("conferido"),
+        F.when(known & test, F.col("rotulo") == F.col("classe")).alias("conferido"), F.when(known & test, F.col("rotulo")).alias("previsto"),
     )
 
 
