@@ -115,6 +115,17 @@ def test_code_lengths_by_hand(spark):
     langid.STRETCH = old
 
 
+def test_long_texts_are_learned_in_pieces(spark):
+    rows = spark.createDataFrame([(1, "abcé" * 50, "x"), (2, "kurz", "y"), (3, None, "z"), (4, "1" * 500, "w")], "doc_id long, text string, lang string")
+    model = langid.train(rows, row_bytes=64, usable=F.lit(True))
+    assert model.languages == ["x", "y"]  # the whole of the long text is within the bound of pieces
+    found = {r.doc_id: r.lang_pred for r in langid.identify(rows, model).collect()}
+    assert found[1] == "x" and found[2] == "y" and found[3] == found[4] == "und"
+    one = langid.train(rows, row_bytes=64, rows_per_language=1, usable=F.lit(True))
+    all_ = model.code_lengths(["abcé".encode() * 50])[0, 0]
+    assert one.languages == ["x", "y"] and one.code_lengths(["abcé".encode() * 50])[0, 0] > all_
+
+
 def test_mixing(spark, docs, nothing):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
     got = mixing.mix_report(docs).collect()

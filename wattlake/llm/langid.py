@@ -170,15 +170,22 @@ def train(
 ) -> PpmModel:
     """Learn one context tree per non-null ``lang`` from a bounded sample of labelled texts.
 
-    Of each language the ``rows_per_language`` texts with the smallest hash of their id are learned from, among those of 1 to ``row_bytes`` bytes that
-    hold a letter and are not held out. So what reaches the driver is bounded by the parameters, whatever the input.
+    A text of up to ``row_bytes`` bytes is one piece, a longer one is cut into pieces of ``row_bytes // 4`` characters, none of them longer than
+    ``row_bytes`` bytes. Of each language the ``rows_per_language`` pieces with the smallest hash of id and place are learned from, among texts that
+    hold a letter and are not held out. So what reaches the driver is bounded by the parameters, whatever the input, and a language that has only long texts is learned too.
     """
     usable = ~held_out() if usable is None else usable
-    able = usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= row_bytes) & has_letter()
-    first = Window.partitionBy("lang").orderBy(hashed("doc_id", seed=1), "doc_id")
-    chosen = docs.filter(able).select("doc_id", "lang").withColumn("_nth", F.row_number().over(first))
-    chosen = chosen.filter(F.col("_nth") <= rows_per_language).select("doc_id", "lang").distinct()
-    sample = docs.filter(able).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    able = usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & has_letter()
+    step = max(1, row_bytes // 4)
+    rows = docs.filter(able).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    whole = F.octet_length("text") <= row_bytes
+    pieces = F.when(whole, 1).otherwise(F.ceil(F.char_length("text") / step).cast("int"))
+    units = rows.select("doc_id", "lang", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
+    place = F.when(F.col("_piece") == 0, hashed("doc_id", seed=1)).otherwise(F.xxhash64(hashed("doc_id", seed=1), "_piece"))
+    chosen = units.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", "_piece")))
+    chosen = chosen.filter(F.col("_nth") <= rows_per_language).groupBy("doc_id", "lang").agg(F.collect_set("_piece").alias("_pieces"))
+    cut = rows.join(chosen, ["doc_id", "lang"]).select("lang", "text", whole.alias("_whole"), F.explode("_pieces").alias("_piece"))
+    sample = cut.select("lang", F.when(F.col("_whole"), F.col("text")).otherwise(F.substring("text", F.col("_piece") * step + 1, F.lit(step))).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
