@@ -17,7 +17,9 @@ from wattlake.plans import features as ft
 from wattlake.plans import frame as fr
 from wattlake.plans import retrieval as rt
 
-from wattlake.sources import scans
+from wattlake.sources import scans, sinks
+from wattlake.sources.contracts import Column as Field
+from wattlake.sources.contracts import Contract
 from wattlake.sources.versioned import VersionedTable
 from wattlake.streaming import jobs
 
@@ -104,6 +106,111 @@ q(
     "AS sprint_id FROM documents",
 )
 
+# ---- written and read back ------------------------------------------------------------------------------------
+_ORDERS = Contract(
+    "notas", (Field("cod_nota", "bigint", False, "NOTA"), Field("cod_uc", "bigint", False, "UC"), Field("status", source_name="STATUS"),
+              Field("data_criacao", "date", False, "CRIACAO", "dd/MM/yyyy")), strategy="incremental")
+
+
+def _bronze(spark, sf):
+    """Orders as a delimited file under their source headers, scanned by the contract and appended in two loads with their technical columns."""
+    root = scratch(spark, "bronze")
+    o = b.table(spark, sf, "orders")
+    o.select(
+        F.col("o_orderkey").alias("NOTA"), F.col("o_custkey").alias("UC"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("STATUS"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("CRIACAO"),
+    ).write.option("header", True).option("delimiter", _ORDERS.delimiter).csv(f"{root}/in")
+    landed = scans.technical_columns(_ORDERS.check_columns(scans.scan_delimited(spark, _ORDERS, f"{root}/in")), "carga")
+    for status in ("status = 'F'", "status IS NULL OR status <> 'F'"):
+        sinks.append_bronze(landed.filter(status), f"{root}/out")
+    return spark.read.parquet(f"{root}/out").select("cod_nota", "cod_uc", "status", "data_criacao", "_run_id", "_source_hash")
+
+
+q(
+    "bronze_append", _bronze,
+    """WITH t AS (SELECT o_orderkey::VARCHAR AS cod_nota, o_custkey::VARCHAR AS cod_uc, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status,
+strftime(o_orderdate, '%d/%m/%Y') AS data_criacao FROM orders)
+SELECT *, 'carga' AS _run_id, sha256(cod_nota || '||' || cod_uc || '||' || coalesce(status, '') || '||' || data_criacao) AS _source_hash FROM t""",
+)
+
+
+def _months(spark, sf):
+    """Monthly values written twice: the second load holds 1997 only, so it replaces those months and leaves the others."""
+    path = scratch(spark, "months")
+    o = b.table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("mes_referencia"), "o_orderkey", "o_orderstatus")
+    sinks.overwrite_months(o, path)
+    sinks.overwrite_months(o.filter("mes_referencia LIKE '1997-%' AND o_orderstatus = 'O'"), path)
+    return spark.read.parquet(path).groupBy("_partition_date").agg(F.count(F.lit(1)).alias("linhas"), F.sum("o_orderkey").alias("soma"))
+
+
+q(
+    "month_overwrite", _months,
+    """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS _partition_date, count(*) AS linhas, CAST(sum(o_orderkey) AS BIGINT) AS soma FROM orders
+WHERE year(o_orderdate) <> 1997 OR o_orderstatus = 'O' OR NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderstatus = 'O' AND year(n.o_orderdate) = 1997
+  AND month(n.o_orderdate) = month(orders.o_orderdate)) GROUP BY 1""",
+)
+
+
+def _snapshots(spark, sf):
+    """One observation date a year of the orders so far; the last one is saved again with doubled values. History, one date and the list of dates."""
+    root, set_ = scratch(spark, "features"), "pedidos"
+    o = b.table(spark, sf, "orders").select("o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("dia"))
+    for date, factor in (("1996-01-01", 1), ("1998-01-01", 1), ("1998-01-01", 2)):
+        seen = o.filter(F.col("dia") < F.lit(date).cast("date")).groupBy("o_custkey").agg((F.count(F.lit(1)) * factor).alias("pedidos"))
+        ft.save_snapshot(seen.withColumn("_observation_date", F.lit(date).cast("date")), root, set_)
+    history = ft.load_history(spark, root, set_).groupBy("_observation_date").agg(F.count(F.lit(1)).alias("linhas"), F.sum("pedidos").alias("pedidos"))
+    latest = ft.load_snapshot(spark, root, set_, "1998-01-01").agg(F.max("pedidos").alias("m")).select("m").scalar()
+    return history.join(ft.available_dates(spark, root, set_), "_observation_date").withColumn("maior_ultima", latest)
+
+
+_SEEN = "SELECT DATE '{d}' AS _observation_date, o_custkey, count(*) * {f} AS p FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '{d}' GROUP BY 2"
+q(
+    "feature_history", _snapshots,
+    f"WITH h AS ({_SEEN.format(d='1996-01-01', f=1)} UNION ALL {_SEEN.format(d='1998-01-01', f=2)}) "
+    "SELECT _observation_date, count(*) AS linhas, CAST(sum(p) AS BIGINT) AS pedidos, (SELECT max(p) FROM h WHERE _observation_date = DATE '1998-01-01') "
+    "AS maior_ultima FROM h GROUP BY 1",
+)
+
+
+def _exported(spark, sf):
+    """Filtered notes exported in the three formats and read back."""
+    root = scratch(spark, "export")
+    notes = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("data_criacao"))
+    rows = sinks.domain_rows(notes, "notas", "1997-01-01", "1997-12-31", o_orderstatus="F")
+    out = None
+    for fmt in ("csv", "json", "parquet"):
+        sinks.export(rows, f"{root}/{fmt}", fmt)
+        reader = spark.read.schema(rows.schema).format(fmt)
+        back = (reader.option("header", True) if fmt == "csv" else reader).load(f"{root}/{fmt}")
+        part = back.groupBy("o_orderstatus").agg(
+            F.lit(fmt).alias("formato"), F.count(F.lit(1)).alias("linhas"), F.sum("o_orderkey").alias("soma"), F.max("data_criacao").alias("ultima"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+q(
+    "domain_export", _exported,
+    """SELECT o_orderstatus, formato, count(*) AS linhas, CAST(sum(o_orderkey) AS BIGINT) AS soma, max(CAST(o_orderdate AS DATE)) AS ultima
+FROM orders, (VALUES ('csv'), ('json'), ('parquet')) v(formato) WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997 GROUP BY 1, 2""",
+)
+
+
+def _telemetry_lines(spark, sf):
+    """Events as JSON lines, every seventh of them cut short; what cannot be parsed is skipped."""
+    path = scratch(spark, "telemetry")
+    e = b.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    line = F.to_json(F.struct(*e.columns))
+    short = F.substring(line, F.lit(1), F.length(line) - 3)
+    e.select(F.when(F.col("event_id") % 7 == 0, short).otherwise(line).alias("value")).write.text(path)
+    read = scans.read_json_lines(spark, path, "event_id long, event_type string, user_id long")
+    return read.groupBy("event_type").agg(F.count("event_id").alias("linhas"), F.sum("user_id").alias("soma"))
+
+
+q(
+    "telemetry_lines", _telemetry_lines,
+    "SELECT event_type, count(*) AS linhas, CAST(sum(user_id) AS BIGINT) AS soma FROM events WHERE event_id % 7 <> 0 GROUP BY 1",
+)
+
 # ---- filters --------------------------------------------------------------------------------------------------
 _CNT = "SELECT regiao, tipo_origem, count(*) AS n, count(DISTINCT ordem) AS ordens FROM {src} WHERE {w} GROUP BY 1, 2"
 
