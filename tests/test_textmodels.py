@@ -109,3 +109,19 @@ def test_exemplars_against_brute_force(spark):
         away = np.linalg.norm(points[members] - points[members].mean(axis=0), axis=1)
         best = [members[i] for i in np.lexsort((members, away))[:3]]
         assert [r["k"] for r in sorted(found, key=lambda r: r["rank"]) if r["g"] == g] == best
+
+
+def test_pair_metrics_equal_the_list_metrics(spark):
+    from wattlake.plans import evaluation as ev
+
+    rng = np.random.default_rng(2)
+    lists = {k: [f"s{x}" for x in rng.permutation(30)[: rng.integers(1, 15)]] for k in range(40)}
+    wanted = {k: [f"s{x}" for x in rng.permutation(30)[: rng.integers(0, 14)]] for k in range(40)}
+    cases = spark.createDataFrame([(k, lists[k], wanted[k]) for k in lists], "k int, retrieved array<string>, expected array<string>")
+    ranked = spark.createDataFrame([(k, s, i + 1) for k in lists for i, s in enumerate(lists[k])], "k int, s string, posicao int")
+    pairs = spark.createDataFrame([(k, s) for k in wanted for s in wanted[k] + wanted[k][:1]], "k int, s string")
+    got = {r["k"]: (r["esperados"], r["recall_5"], r["mrr_10"], r["ndcg_10"]) for r in ev.pair_metrics(ranked, pairs, "k", "s").collect()}
+    ten = F.slice("retrieved", 1, 10)
+    want = cases.select("k", F.size("expected"), F.round(ev.recall_at(F.col("retrieved"), F.col("expected"), 5), 4), F.round(ev.mrr(ten, F.col("expected")), 4),
+                        F.round(ev.ndcg_at(F.col("retrieved"), F.col("expected"), 10), 4)).collect()
+    assert all(got[r[0]] == pytest.approx(tuple(r[1:]), abs=2e-4) for r in want) and len(got) == 40

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattlake import bindings as b
@@ -322,16 +323,14 @@ q(
 )
 
 
-def _eval_cases(spark, sf):
-    """Ranked documents of each passage against the documents that hold the whole passage, word for word.
+def _eval_metrics(spark, sf):
+    """Metrics of the ranked documents of each passage against the documents that hold the whole passage, word for word.
 
     Documents and passages meet on hashed windows of up to eight opening words, an equi-join over text that grows with the corpus; of
     those that meet the whole passage is compared.
     """
-    ranked = _hybrid(spark, sf).select("item_id", "doc_id", F.round("score", 6).alias("s"))
-    retrieved = ranked.groupBy("item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("n"), "doc_id"))), lambda e: e["doc_id"].cast("string")).alias("retrieved")
-    )
+    nth = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("s"), "doc_id"))  # a passage has at most k candidates
+    ranked = _hybrid(spark, sf).select("item_id", "doc_id", F.round("score", 6).alias("s")).withColumn("posicao", nth)
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\w+"), F.lit(0))
     opening = 8
     bench = b.table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("p")).filter("size(p) > 0").select(
@@ -347,10 +346,7 @@ def _eval_cases(spark, sf):
     met = windows.join(bench.select("n", "janela").distinct(), ["n", "janela"], "left_semi").distinct().join(bench, ["n", "janela"])
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     held = met.join(rows.select("doc_id", spaced(F.array_join("w", " ")).alias("texto")), "doc_id").filter(F.contains("texto", spaced(F.col("passagem"))))
-    expected = held.select("item_id", "doc_id").distinct().groupBy("item_id").agg(
-        F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("expected")
-    )
-    return retrieved.join(expected, "item_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
+    return ev.pair_metrics(ranked, held, "item_id", "doc_id")
 
 
 _EVAL = """
@@ -367,14 +363,14 @@ mt AS MATERIALIZED (SELECT i.item_id, coalesce(n, 0) AS n, coalesce((SELECT coun
   FROM (SELECT DISTINCT item_id FROM rk) i LEFT JOIN en ON en.item_id = i.item_id)"""
 q(
     "retrieval_metrics",
-    lambda s, d: ev.score_cases(_eval_cases(s, d)).select("item_id", F.size("expected").cast("long").alias("esperados"), "recall_5", "mrr_10", "ndcg_10"),
+    _eval_metrics,
     *_HYB, _EVAL,
     "SELECT item_id, n AS esperados, CASE WHEN n = 0 THEN 1 ELSE round(h5 / n, 4) END AS recall_5, CASE WHEN n = 0 THEN 1 ELSE round(coalesce(1 / fr, 0), 4) "
     "END AS mrr_10, CASE WHEN n = 0 THEN 1 ELSE round(dcg / idcg, 4) END AS ndcg_10 FROM mt",
 )
 q(
     "retrieval_summary",
-    lambda s, d: ev.score_cases(_eval_cases(s, d)).agg(
+    lambda s, d: _eval_metrics(s, d).agg(
         F.count(F.lit(1)).alias("casos"), F.round(F.avg("recall_5"), 4).alias("recall_5"), F.round(F.avg("mrr_10"), 4).alias("mrr_10"),
         F.round(F.avg("ndcg_10"), 4).alias("ndcg_10")),
     *_HYB, _EVAL,

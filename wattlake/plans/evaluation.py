@@ -72,6 +72,30 @@ def compliant(regions: Column, allowed: tuple[str, ...] = ("CE", "SP", "CE+SP"))
     return F.forall(regions, lambda r: r.isin(*allowed))
 
 
+def pair_metrics(ranked: DataFrame, expected: DataFrame, key: str, source: str, position: str = "posicao") -> DataFrame:
+    """EV01-EV03, EV08 from rows: recall at 5, reciprocal rank and gain at 10 of every case of ``ranked`` (key, source, position from 1).
+
+    ``expected`` (key, source) may hold any number of sources for a case: it is joined and counted, never gathered, and repeated pairs count once. A case without expected sources scores 1 everywhere.
+    """
+    pairs = expected.select(key, source).distinct()
+    hits = ranked.select(key, source, position).join(pairs, [key, source], "left_semi")
+    at = F.col(position)
+    found = hits.filter(at <= 10).groupBy(key).agg(
+        F.count_if(at <= 5).alias("_h"), F.min(position).alias("_first"), F.sum(F.lit(1.0) / F.log2(at + 1.0)).alias("_gain")
+    )
+    shown = ranked.groupBy(key).agg(F.count_if(at <= 10).alias("_shown"))
+    cases = shown.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("esperados")), key, "left").join(found, key, "left").na.fill(0, ["esperados", "_h", "_gain"])
+    steps = F.array(*[F.lit(1.0) / F.log2(F.lit(i + 1.0)) for i in range(1, 11)])
+    ideal = F.least(F.col("esperados"), F.col("_shown")).cast("int")
+    best = F.aggregate(F.slice(steps, F.lit(1), ideal), F.lit(0.0), lambda a, x: a + x)
+    none = F.col("esperados") == 0
+    return cases.select(
+        key, "esperados", F.when(none, 1.0).otherwise(F.round(F.col("_h") / F.greatest("esperados", F.lit(1)), 4)).alias("recall_5"),
+        F.when(none, 1.0).otherwise(F.round(F.coalesce(F.lit(1.0) / F.col("_first"), F.lit(0.0)), 4)).alias("mrr_10"),
+        F.when(none, 1.0).when(best == 0, 0.0).otherwise(F.round(F.try_divide("_gain", best), 4)).alias("ndcg_10"),
+    )
+
+
 def score_cases(cases: DataFrame) -> DataFrame:
     """EV08: one row per case with every metric."""
     return cases.withColumns(
