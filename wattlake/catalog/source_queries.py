@@ -211,6 +211,19 @@ q(
     "SELECT event_type, count(*) AS linhas, CAST(sum(user_id) AS BIGINT) AS soma FROM events WHERE event_id % 7 <> 0 GROUP BY 1",
 )
 
+def _status_report(spark, sf):
+    """Orders and large orders by status as a report, read back."""
+    path = scratch(spark, "report")
+    report = b.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("linhas"), F.count_if(F.col("o_totalprice") > 100000).alias("altas"))
+    sinks.write_report(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+q(
+    "status_report", _status_report,
+    "SELECT o_orderstatus, count(*) AS linhas, count(*) FILTER (o_totalprice > 100000) AS altas FROM orders GROUP BY 1",
+)
+
 # ---- filters --------------------------------------------------------------------------------------------------
 _CNT = "SELECT regiao, tipo_origem, count(*) AS n, count(DISTINCT ordem) AS ordens FROM {src} WHERE {w} GROUP BY 1, 2"
 
