@@ -92,3 +92,28 @@ def test_topics_with_many_untopiced_rows(spark):
     assert got["2"] == got["5"] == (None, "sem_topico", "")  # totals have no topic
     causa = {r["ordem"]: r["causa_canonica"] for r in frame.collect()}
     assert causa["1"] in ("digitacao", "texto_incompleto") and causa["2"] == "reclamacao_total_sem_causa"
+
+
+def test_meter_profiles_meet_orders_and_no_text_is_dealt_by_installation(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(b.build_frame(spark, SF, parts=registry.parts_of("wide_frame")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(instalacao#" in line]
+    assert dealt
+    # The rows of the frame, named by their last join, stay dealt by order.
+    tops = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert "[ordem#" in tops[0]
+
+
+def test_meters_joined_to_rows_or_to_orders_give_the_same_frame(spark):
+    from wattlake.plans import profiles
+
+    profile = profiles.meter_profile(b.meters(spark, SF))
+    columns = ["ordem", "linha", "instalacao", *profiles.METER_COLUMNS, "perfil_medidor_disponivel"]
+    late = profiles.enrich(b.complaints(spark, SF), profile, None, clean_keys=True).select(*columns)
+    early = profiles.enrich(b.complaints(spark, SF, profile), None, None, clean_keys=True).select(*columns)
+    assert early.count() == late.count() > 0
+    assert early.exceptAll(late).isEmpty()
+    assert early.filter("perfil_medidor_disponivel").count() > 0
