@@ -33,3 +33,19 @@ def test_all_trusted_text_counts(spark, monkeypatch):
     quality.quality(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count()
     half = docs.filter(quality.trusted_half()).agg(F.count("text"), F.sum(F.octet_length("text"))).first()
     assert seen[0] == half and half[0] > 400
+
+
+def test_grams_travel_once_a_lot(spark):
+    """Texts that share grams cost their lot one row a gram, and neither the size of a lot nor repeats change a perplexity."""
+    texts = [(i, "x" if i % 3 else None, f"the same words again and again {i % 5} {'more ' * (i % 7)}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, own string, text string").withColumn("langs", F.array(F.lit("x"))).coalesce(1)
+    distinct = len({g for t in texts for g in quality.byte_grams(t[2].encode(), 2).tolist()})
+    lots = quality.text_lots(docs, 2)
+    assert lots.filter("gram IS NOT NULL").count() == distinct and lots.filter("text IS NOT NULL").count() == 60
+    small = quality.text_lots(docs, 2, lot_bytes=100)
+    assert small.select("lot").distinct().count() > 10
+    cost = lots.filter("gram IS NOT NULL").select("lang", "gram", (F.col("gram") % 7 + 1).cast("double").alias("bits"))
+    one, many = ([tuple(r) for r in quality.lot_perplexities(d, cost, 2).orderBy("doc_id").collect()] for d in (lots, small))
+    assert one == many and len(one) == 60
+    want = {i: 2 ** (sum(g % 7 + 1 for g in quality.byte_grams(t.encode(), 2).tolist()) / len(t)) for i, _, t in texts}
+    assert all(p == pytest.approx(want[i]) for i, _, p in one)

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlake.llm.common import hashed, saved
+from wattlake.llm.common import saved, shared_path
 from wattlake.llm.langid import Lookup, PpmModel, has_letter
 
 NO_LANGUAGE = "und"
+LOT_BYTES = 1 << 26  # text of a lot, which one task holds with its grams
 
 
 def _top_counts(sample: DataFrame, order: int) -> DataFrame:
@@ -110,36 +112,101 @@ def probabilities(wanted: DataFrame, known: list[DataFrame], gammas: list[DataFr
     return out.unionByName(left.select("lang", "full", (F.col("weight") / 256).alias("p")))
 
 
-def text_grams(texts: DataFrame, order: int) -> DataFrame:
-    """(key, lang, gram, n): how often each run of order + 1 bytes is in a text, for each language of the text's ``langs``."""
+def byte_grams(text: bytes, order: int) -> np.ndarray:
+    """Every run of order + 1 bytes of a text led in by line breaks, one for each byte."""
+    a = np.frombuffer(b"\n" * order + text, np.uint8).astype(np.int64)
+    g = a[order:].copy()
+    for j in range(1, order + 1):
+        g |= a[order - j : len(a) - j] << (8 * j)
+    return g
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put() -> pa.RecordBatch:
-            sizes = [len(g) for _, _, g, _ in held]
-            keys = pa.array(np.repeat(np.array([x[0] for x in held], np.int64), sizes))
-            langs = pa.array([x[1] for x in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
-            columns = [keys, langs, pa.array(np.concatenate([x[2] for x in held])), pa.array(np.concatenate([x[3] for x in held]))]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "lang", "gram", "n"])
 
-        held: list[tuple] = []
-        waiting = 0
+_LOTS = "lot long, doc_id long, own string, langs array<string>, text string, lang string, gram long"
+
+
+def text_lots(texts: DataFrame, order: int, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """Texts (doc_id, own, langs, text) dealt to lots, and once for each lot the (lang, gram) that its texts need.
+
+    A task cuts the texts it reads into lots of about ``lot_bytes``; a longer text is a lot of its own. Texts stay where they are: the table is
+    written in buckets of lots, so a later join by lot moves the grams alone. A gram that many texts of a lot hold is one row.
+    """
+    schema = pa.schema(
+        [("lot", pa.int64()), ("doc_id", pa.int64()), ("own", pa.string()), ("langs", pa.list_(pa.string())), ("text", pa.string()), ("lang", pa.string()), ("gram", pa.int64())]
+    )
+
+    def batch_of(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        number, held, waiting = 0, 0, 0
+        seen: dict[str, np.ndarray] = {}
+        fresh: dict[str, list[np.ndarray]] = {}
+
+        def settle() -> None:
+            nonlocal waiting
+            for lang, found in fresh.items():
+                seen[lang] = np.unique(np.concatenate([*found, seen.get(lang, np.empty(0, np.int64))]))
+            fresh.clear()
+            waiting = 0
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
+            settle()
+            for lang, grams in seen.items():
+                for at in range(0, len(grams), 100_000):
+                    some = grams[at : at + 100_000]
+                    yield batch_of(len(some), lot=np.full(len(some), lot), lang=[lang] * len(some), gram=some)
+            seen.clear()
+
         for batch in batches:
-            for key, langs, text in zip(*batch.columns, strict=True):
-                a = np.frombuffer(b"\n" * order + text.as_py().encode(), np.uint8).astype(np.int64)
-                g = a[order:].copy()
-                for j in range(1, order + 1):
-                    g |= a[order - j : len(a) - j] << (8 * j)
-                found, n = np.unique(g, return_counts=True)
-                for lang in langs.as_py():
-                    held.append((key.as_py(), lang, found, n.astype(np.int64)))
-                    waiting += len(found)
-                if waiting > 250_000:
-                    yield put()
-                    held, waiting = [], 0
+            for doc_id, own, langs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lot = (part << 32) + number
+                data = text.encode()
+                grams = byte_grams(data, order)
+                for lang in langs:
+                    fresh.setdefault(lang, []).append(grams)
+                waiting += len(grams) * len(langs)
+                held += len(data)
+                yield batch_of(1, lot=[lot], doc_id=[doc_id], own=[own], langs=[langs], text=[text])
+                if waiting > 4_000_000:
+                    settle()
+                if held >= lot_bytes:
+                    yield from vocabulary()
+                    number, held = number + 1, 0
         if held:
-            yield put()
+            yield from vocabulary()
+
+    lots = texts.select("doc_id", "own", "langs", "text").mapInArrow(deal, _LOTS)
+    spark = texts.sparkSession
+    path = shared_path(spark, "text-lots")
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    lots.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "lot").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def lot_perplexities(lots: DataFrame, cost: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, perplexity) of the texts of lots: each text's grams are looked up in its lot's share of ``cost`` (lang, gram, bits).
+
+    Of the languages of a text the one that fits best counts.
+    """
+
+    def score(texts: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        known = {}
+        for lang, rows in bits.groupby("lang"):
+            at = np.argsort(rows["gram"].to_numpy())
+            known[lang] = rows["gram"].to_numpy()[at], rows["bits"].to_numpy()[at]
+        out = []
+        for langs, text in zip(texts["langs"], texts["text"], strict=True):
+            data = text.encode()
+            found, n = np.unique(byte_grams(data, order), return_counts=True)
+            best = min(float(n @ known[x][1][np.searchsorted(known[x][0], found)]) for x in langs)
+            out.append(2.0 ** min(best / len(data), 1000.0))
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "lang": texts["own"], "perplexity": np.array(out, float)})
 
-    return texts.select("key", "langs", "text").mapInArrow(count, "key long, lang string, gram long, n long")
+    needed = lots.filter("gram IS NOT NULL").select("lot", "lang", "gram").join(cost, ["lang", "gram"])
+    texts = lots.filter("text IS NOT NULL").select("lot", "doc_id", "own", "langs", "text")
+    return texts.groupBy("lot").cogroup(needed.select(F.col("lot").alias("of"), "lang", "gram", "bits").groupBy("of")).applyInPandas(score, "doc_id long, lang string, perplexity double")
 
 
 def _tables(alpha: pd.DataFrame, gamma: pd.DataFrame, order: int) -> PpmModel:
@@ -175,26 +242,22 @@ def trusted_half(doc_id: str = "doc_id"):
 def perplexities(docs: DataFrame, known: list[DataFrame], gammas: list[DataFrame]) -> DataFrame:
     """(doc_id, lang, perplexity): two to the bits a byte of the whole text under its language's model; null without a letter or a model.
 
-    A text of no language, or of one that has no model, takes the model that fits it best. The counts of distinct (text, gram) meet the
-    probabilities in a join by gram; the driver sees the names of the languages.
+    A text of no language, or of one that has no model, takes the model that fits it best. The distinct grams of a lot of texts meet the
+    probabilities in a join by gram and go back to their lot; the driver sees the names of the languages.
     """
     order = len(known) - 1
     names = sorted(r.lang for r in known[0].select("lang").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", F.when(has_letter(), hashed("lang", "text", seed=11)))
+    rows = rows.withColumn("able", has_letter())
+    none = F.lit(None).cast("double").alias("perplexity")
     if not names:
-        return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
+        return rows.select("doc_id", "lang", none)
     every = F.array(*[F.lit(x) for x in names])
     langs = F.when(F.array_contains(every, F.col("lang")), F.array("lang")).otherwise(every)
-    grams = saved(text_grams(rows.filter("key IS NOT NULL").withColumn("langs", langs), order), "text-grams")
-    wanted = grams.select("lang", "gram").distinct()
+    lots = text_lots(rows.filter("able").select("doc_id", F.col("lang").alias("own"), langs.alias("langs"), "text"), order)
+    wanted = lots.filter("gram IS NOT NULL").select("lang", "gram").distinct()
     cost = probabilities(wanted, known, gammas).select("lang", F.col("full").alias("gram"), (-F.log2("p")).alias("bits"))
-    sums = grams.join(saved(cost, "gram-bits"), ["lang", "gram"]).groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
-    best = sums.groupBy("key").agg(F.min("bits").alias("bits"))
-    # Texts that repeat share a key, and their counts came in as often.
-    sizes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    each = best.join(sizes, "key").select("key", F.pow(F.lit(2.0), F.least(F.col("bits") / F.col("bytes"), F.lit(1000.0))).alias("perplexity"))
-    return rows.select("doc_id", "lang", "key").join(each, "key", "left").select("doc_id", "lang", "perplexity")
+    return lot_perplexities(lots, saved(cost, "gram-bits"), order).unionByName(rows.filter("NOT able").select("doc_id", "lang", none))
 
 
 def quality(
