@@ -31,8 +31,35 @@ def test_fact_reads_the_notes_once(spark):
 
 
 def test_line_texts_are_built_after_the_join(spark):
-    joins = [x for x in plan(b.complaints(spark, SF)).split("\n") if "refaturamento efetuado" in x]
-    assert joins
+    """A line carries its texts' parts to its order only where they are asked for, and never the whole answer."""
+    lines = plan(b.complaints(spark, SF)).split("\n")
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
-    top = min(depth(x) for x in plan(b.complaints(spark, SF)).split("\n") if "Join Inner, (ordem" in x)
-    assert all(depth(x) < top for x in joins)
+    top = min(depth(x) for x in lines if "Join Inner, (ordem" in x)
+    assert [x for x in lines if "AS devolutiva#" in x] and all(depth(x) < top for x in lines if "AS devolutiva#" in x)
+    below = [x for x in plan(b.complaints(spark, SF).select("ordem", "flag_resolvido_com_refaturamento", "status")).split("\n") if "_rebilled" in x and "AS" in x]
+    assert below and not any("p_name#" in x.split("AS _rebilled")[1] for x in below if "AS _rebilled" in x)
+
+
+def test_examples_are_the_dearest_rows(spark):
+    """Of a cause the dearest row with a text is shown, by order and text on ties; a cause without texts shows none."""
+    from datetime import datetime
+
+    from wattlake.plans import severity as sv
+
+    day = datetime(2024, 1, 1)
+    rows = [
+        ("1", "digitacao", 5.0, " barato ", day), ("2", "digitacao", 9.0, "caro", day), ("2", "digitacao", 9.0, "ainda", day),
+        ("3", "digitacao", 90.0, "  ", day), ("4", "digitacao", None, "sem valor", day), ("5", "consumo_elevado_revisao", None, " ", day),
+    ]
+    frame = spark.createDataFrame(rows, "ordem string, causa_canonica string, valor_fatura_reclamada_medio double, texto_completo string, data_ingresso timestamp")
+    frame = frame.withColumns({"categoria": F.lit("x"), "procedente_real": F.lit(True), "regiao": F.lit("SP")})
+    whole = sv.severity_scope
+    sv.severity_scope = lambda f, s: f
+    try:
+        tree = sv.category_tree(frame)
+        shown = {r.subcausa_id: r for r in tree.collect()}
+    finally:
+        sv.severity_scope = whole
+    assert shown["digitacao"].exemplo_valor_fatura == 9.0 and shown["consumo_elevado_revisao"].exemplo_valor_fatura == 0.0
+    assert "ainda" in [v for v in shown["digitacao"].asDict().values() if isinstance(v, str)]
+    assert "_least" in plan(tree)
