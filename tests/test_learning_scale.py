@@ -67,3 +67,20 @@ def test_scores_read_the_rates_alone(spark, keep):
     assert not any("lineitem" in f for f in ml.anomaly_scores(features, columns).inputFiles())
     rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert rounded(features) == rounded(ft.anomaly_features(notes, "1998-07-31", payments))
+
+
+def test_centres_are_read_by_position(spark, keep):
+    """Distances against plain arithmetic; of a centre nothing is searched, and texts are cut before the vocabulary is learned."""
+    rows = spark.createDataFrame(
+        [(1, "a", [0, 5], [1.0, 2.0]), (2, "a", [5], [4.0]), (3, "b", [2], [1.0]), (4, "a", [], [])], "k long, g string, _ids array<int>, _weights array<double>"
+    )
+    found = tm.exemplars(rows, "g", "k", tm.centres(rows, "g"), 5)
+    centre = {"a": {0: 1 / 3, 5: 2.0}, "b": {2: 1.0}}
+    for r in found.collect():
+        row = rows.filter(F.col("k") == r.k).first()
+        mine = dict(zip(row["_ids"], row["_weights"], strict=True))
+        assert abs(r.distancia**2 - sum((mine.get(i, 0) - c) ** 2 for i, c in centre[r.g].items())) < 1e-9
+    assert "element_at(_centre" not in found._jdf.queryExecution().analyzed().toString()
+    kept = []
+    tm.topics(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id", "text", lambda df: kept.append(keep(df)) or kept[-1])
+    assert kept[0].columns == ["doc_id", "_w"] and not any("documents" in f for f in kept[1].select("features").inputFiles())
